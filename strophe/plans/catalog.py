@@ -4,9 +4,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strophe.operators import unpack
+from strophe.session import table
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unpack.unpack(table(spark, sf_dir, "songs").where("source = 'sheetpad'"), "row_id", "lyrics")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p3_found": p3_found}
 
 
 def oracle_sql() -> dict[str, str]:
