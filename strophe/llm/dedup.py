@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from strophe.llm.lookalike import has_words, skeletons
+from strophe.functions.characters import has_words
+from strophe.llm.lookalike import skeletons
 from strophe.session import stage
 
 #: Letters (and one Han character) whose counts make the histogram; any would do, these tell texts apart well.

@@ -16,14 +16,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophe.llm.lookalike import FOLDED_TAG, has_words, skeleton
+from strophe.functions.characters import FOLDED_TAG, has_words
+from strophe.llm.lookalike import skeleton
 from strophe.session import stage
 
 BLOCKS = 40
 #: Fingerprints at most this far apart are compared exactly. At a shingle similarity of 0.5, edits spread evenly leave a window similarity of about 0.2, so 1 pair in 150 is farther apart; at 0.6, 1 in 10,000.
 DISTANCE = BLOCKS - 3
 #: Words, or Han characters, of a window; longer than the shingles so that stock phrases don't fill the blocks.
-WINDOW, HAN_WINDOW = 8, 14
+WINDOW, HAN_WINDOW = 8, 10
 #: Up to so many candidate texts their ids (16 bytes each) are broadcast to pick the texts; beyond, they are joined.
 BROADCAST_IDS = 2_000_000
 
