@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from strophe.functions.characters import CYRILLIC, CYRILLIC_AS, DIRTY_PY, FOLDED_TAG, GREEK, GREEK_AS, LATIN, dirty, fold, has_words
+from strophe.functions.characters import FOLDED_TAG, GREEK, GREEK_AS, DIRTY_PY, LATIN, TO_CYRILLIC, TO_GREEK, dirty, fold, has_words
 from strophe.session import stage
 
 #: Letters of one script with no twin in another decide a token's script.
