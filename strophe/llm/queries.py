@@ -4,9 +4,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strophe.llm import dedup, lookalike, neardup
+from strophe.llm import bpe, dedup, langid, lookalike, neardup, packing, reading, sampling
 from strophe.session import table
 
+#: Share of the identifiers that p5_sample chooses.
+SAMPLE_RATE = 0.1
+
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.same_looking(table(spark, sf_dir, "songs"))
@@ -24,6 +27,20 @@ def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.kept_records(dedup.records_of(table(spark, sf_dir, "songs"), table(spark, sf_dir, "raw_lines")))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    songs = table(spark, sf_dir, "songs")
+    return langid.corrections(songs, langid.train(table(spark, sf_dir, "lang_samples"), songs))
+
+
+def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    songs = table(spark, sf_dir, "songs")
+    return langid.languages(songs, langid.train(table(spark, sf_dir, "lang_samples"), songs))
+
+
+def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample(table(spark, sf_dir, "songs").select("row_id", "idx"), SAMPLE_RATE)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "songs"))
 
@@ -32,9 +49,33 @@ def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(table(spark, sf_dir, "songs"))
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), bpe.load(spark))
+
+
+def p9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = bpe.sizes(table(spark, sf_dir, "documents"), bpe.load(spark))
+    return packing.pack(sizes, table(spark, sf_dir, "pack_sizes"))
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(p9_pack(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.ungraded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels"))
+
+
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels")
+    english = documents.where("lang = 'en'")
+    models = reading.fit(english.select("doc_id", "text").join(labels.select("doc_id", "grade"), "doc_id"))
+    return reading.levels(english, models)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p5_sample": sampling.sql(SAMPLE_RATE)}
