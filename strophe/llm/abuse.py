@@ -7,6 +7,7 @@ lines, and how far voters repeat each other; its posteriors are the soft labels
 a linear classifier over words and pairs of words, which scores every line.
 """
 
+import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -23,7 +24,7 @@ from strophe.llm.lookalike import skeleton
 
 CATEGORIES = ("insult", "hate", "threat", "sexual")
 #: Most labelled songs that the model is fitted on: those with the smallest hashes.
-FIT_SONGS = 8_000
+FIT_SONGS = 3_000
 #: A song with a line of at least this probability is abusive.
 THRESHOLD = 0.5
 # Words that address someone, in the six languages.
@@ -89,25 +90,37 @@ class Decoder:
         return _WRITTEN.sub(lambda m: self.word(m[0]), t)
 
 
+def _kinds() -> np.ndarray:
+    """What a byte may be: 1 a letter, 2 a sign for one, 4 an ASCII letter, 8 between letters set apart, 16 the lead of a Han character."""
+    k = np.zeros(256, np.uint8)
+    k[97:123] |= 5
+    k[128:] |= 1
+    k[list(b"0123456789@$!*#_%&")] |= 2
+    k[list(b" _*~^#+-")] |= 8
+    k[0xE3:0xEA] |= 16
+    return k
+
+
+_KIND = _kinds()
+
+
 def disguised(texts: list[str]) -> np.ndarray:
     """Which lower-case texts may write words in other ways: a sign for a letter beside one, letters set apart, or a letter three times."""
     data = b"\n\n\n\n" + b"\n\n\n\n\n\n".join(t.encode() for t in texts) + b"\n\n\n\n\n\n"
     b = np.frombuffer(data, np.uint8)
-    letter = ((b >= 97) & (b <= 122)) | (b >= 128)
-    sign = np.isin(b, np.frombuffer(b"0123456789@$!*#_%&", np.uint8))
-    n = len(b)
-    hit = np.zeros(n, bool)
+    kind = _KIND[b]
+    letter, sign = kind & 1, (kind & 2) > 0
+    letter = letter > 0
+    hit = np.zeros(len(b), bool)
     hit[1:-1] = sign[1:-1] & (letter[:-2] & (b[1:-1] != 33) | letter[2:])
-    hit[2:] |= letter[2:] & (b[2:] == b[1:-1]) & (b[1:-1] == b[:-2]) & (b[2:] < 128)
+    same = b[1:] == b[:-1]
+    hit[2:] |= same[1:] & same[:-1] & ((kind[2:] & 4) > 0)
     lone = letter.copy()
     lone[1:] &= ~letter[:-1]
     lone[:-1] &= ~letter[1:]
     hit[4:] |= lone[4:] & lone[2:-2] & lone[:-4]
-    # Han characters set apart: a blank or sign between two lead bytes' characters
-    gap = np.isin(b, np.frombuffer(b" _*~^#+-", np.uint8))
-    gap[1:] &= b[:-1] >= 128
-    gap[:-1] &= (b[1:] >= 0xE3) & (b[1:] <= 0xE9)
-    hit |= gap
+    # Han characters set apart: a blank or sign between two characters of three bytes
+    hit[1:-1] |= ((kind[1:-1] & 8) > 0) & (b[:-2] >= 128) & ((kind[2:] & 16) > 0)
     starts = np.r_[4, 4 + np.cumsum([len(t.encode()) + 6 for t in texts])[:-1]].astype(np.int64) if texts else np.zeros(0, np.int64)
     return np.logical_or.reduceat(hit, starts) if texts else np.zeros(0, bool)
 
@@ -152,20 +165,37 @@ class Model:
         self.numbers, self.uni, self.pairs, self.pair_weights, self.bias, self.decoder = numbers, uni, pairs, pair_weights, bias, decoder
         self.words: Words | None = None
 
+    def _table(self) -> None:
+        """The pairs' weights in a hash table with as many slots a bucket as its fullest needs."""
+        self.bits = max(4, (2 * len(self.pairs)).bit_length())
+        bucket = self._bucket(self.pairs)
+        order = np.argsort(bucket, kind="stable")
+        rank = np.arange(len(order)) - np.searchsorted(bucket[order], bucket[order])
+        depth = int(rank.max()) + 1 if len(order) else 1
+        self.slots = np.full((depth, 1 << self.bits), -1, np.int64)
+        self.held = np.zeros((depth, 1 << self.bits))
+        self.slots[rank, bucket[order]] = self.pairs[order]
+        self.held[rank, bucket[order]] = self.pair_weights[order]
+
+    def _bucket(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _pair(self, key: np.ndarray) -> np.ndarray:
+        b = self._bucket(key)
+        return sum(np.where(s[b] == key, h[b], 0.0) for s, h in zip(self.slots, self.held))
+
     def scores(self, texts: list[str]) -> np.ndarray:
         """The highest probability of any line of each text."""
         if self.words is None:
             self.words = Words(self.numbers)
+            self._table()
         ids, owner, _ = tokens(texts, self.decoder, self.words)
         if not len(ids):
             return np.zeros(len(texts))
         w = np.where(ids > 0, self.uni[np.maximum(ids, 0)], 0.0)
         both = (ids[:-1] > 0) & (ids[1:] > 0)
         at = np.nonzero(both)[0]
-        key = ids[at] * len(self.uni) + ids[at + 1]
-        k = np.minimum(np.searchsorted(self.pairs, key), max(0, len(self.pairs) - 1))
-        if len(self.pairs):
-            w[at + 1] += np.where(self.pairs[k] == key, self.pair_weights[k], 0.0)
+        w[at + 1] += self._pair(ids[at] * len(self.uni) + ids[at + 1])
         starts = np.nonzero(ids == -1)[0]
         line = np.add.reduceat(w, starts)
         top = np.full(len(texts), -50.0)
@@ -250,48 +280,50 @@ def learn(texts: list[str], flagged: np.ndarray, lexicon: list[tuple[str, str]])
     bad = flagged[song] if len(song) else np.zeros(0, bool)
     # songs that hold a word or a pair
     uni, pair = (defaultdict(lambda: [0, 0]) for _ in range(2))
-    last: dict = {}
-    for x, s, f in zip(lines, who, bad):
-        for store, keys in ((uni, x), (pair, zip(x, x[1:]))):
+    words_of, pairs_of = defaultdict(set), defaultdict(set)
+    for x, s in zip(lines, who):
+        words_of[s].update(x)
+        pairs_of[s].update(zip(x, x[1:]))
+    for store, of in ((uni, words_of), (pair, pairs_of)):
+        for s, keys in of.items():
+            f = int(flagged[s])
             for k in keys:
-                if last.get((k, s)) is None:
-                    last[(k, s)] = True
-                    store[k][int(f)] += 1
+                store[k][f] += 1
     nf, nu = max(1, int(flagged.sum())), max(1, int((~flagged).sum()))
-    odds = lambda c: np.log((c[1] + 0.3) / nf) - np.log((c[0] + 0.3) / nu)
+    ratio = lambda c: math.log((c[1] + 0.3) / nf) - math.log((c[0] + 0.3) / nu)
+    uni, pair = ({k: ratio(c) for k, c in store.items()} for store in (uni, pair))
     clean_lines = {x for x, f in zip(lines, bad) if not f}
     address = {words[w] for w in ADDRESS}
-    lex = defaultdict(set)
+    lex = defaultdict(list)
     for term, category in lexicon:
-        k = tuple(words[w] for w in _TOKEN.findall(term))
-        if k:
-            lex[category].add(k)
-    lone = {k[0] for c in lex.values() for k in c if len(k) == 1}
-
-    def has(x: tuple[int, ...], terms: set) -> bool:
-        return any(x[i : i + len(k)] == k for k in terms for i in range(len(x) - len(k) + 1) if k[0] in x)
-
+        if (k := tuple(words[w] for w in _TOKEN.findall(term))) and category in CATEGORIES:
+            lex[k[0]].append((k, CATEGORIES.index(category)))
+    lone = {k for k, x in lex.items() if any(len(t) == 1 for t, _ in x)}
+    mean = lambda x: sum(x) / len(x)
     votes = np.zeros((len(lines), 4 + 6), np.int64)
     for i, (x, s, f) in enumerate(zip(lines, who, bad)):
-        for j, c in enumerate(CATEGORIES):
-            votes[i, j] = has(x, lex[c])
-        any_term = votes[i, :4].any()
-        u = [odds(uni[k]) for k in x]
-        p = [odds(pair[k]) for k in zip(x, x[1:])]
-        votes[i, 4] = 1 if any_term and address.intersection(x) else -1 if not any_term and max(u) < 0.7 else 0
-        votes[i, 5] = 1 if max(u) > 2.5 else -1 if max(u) < 1 else 0
+        any_term = False
+        for at, t in enumerate(x):
+            for k, j in lex.get(t, ()):
+                if x[at : at + len(k)] == k:
+                    votes[i, j] = any_term = True
+        u = [uni[k] for k in x]
+        p = [pair[k] for k in zip(x, x[1:])]
+        top = max(u)
+        votes[i, 4] = 1 if any_term and address.intersection(x) else -1 if not any_term and top < 0.7 else 0
+        votes[i, 5] = 1 if top > 2.5 else -1 if top < 1 else 0
         votes[i, 6] = (1 if sum(q > 1.5 for q in p) > 1 else -1 if max(p) < 0.7 else 0) if p else 0
-        votes[i, 7] = -1 if x in clean_lines else 1 if np.mean(p or u) > 1.2 else 0
-        votes[i, 8] = -1 if not f else 1 if np.mean(u) > 1.5 else 0
-        votes[i, 9] = 1 if odd[s] and f and max(u) > 2 else 0
+        votes[i, 7] = -1 if x in clean_lines else 1 if mean(p or u) > 1.2 else 0
+        votes[i, 8] = -1 if not f else 1 if mean(u) > 1.5 else 0
+        votes[i, 9] = 1 if odd[s] and f and top > 2 else 0
     if len(lines):
         post, _, _ = label_model(votes)
         post[~bad] = 0.0
         # a flagged song has an abusive line: if none is likely, the one with the most telling words
         best = defaultdict(lambda: (-1.0, -1))
         for i in np.nonzero(bad)[0]:
-            p = [odds(pair[k]) for k in zip(lines[i], lines[i][1:])] + [odds(uni[k]) for k in lines[i]]
-            best[who[i]] = max(best[who[i]], (float(post[i]) + 0.01 * float(np.mean(p)) if lines[i] not in clean_lines else -1.0, int(i)))
+            p = [pair[k] for k in zip(lines[i], lines[i][1:])] + [uni[k] for k in lines[i]]
+            best[who[i]] = max(best[who[i]], (float(post[i]) + 0.01 * mean(p) if lines[i] not in clean_lines else -1.0, int(i)))
         for score, i in best.values():
             if i >= 0 and score > -1 and len(lines[i]) > 2:
                 post[i] = max(post[i], 0.8)
@@ -300,7 +332,7 @@ def learn(texts: list[str], flagged: np.ndarray, lexicon: list[tuple[str, str]])
     return _classifier(words, decoder, lines, post, lone)
 
 
-def _classifier(words: Words, decoder: Decoder, lines: list[tuple[int, ...]], post: np.ndarray, lone: set[int], epochs: int = 30) -> Model:
+def _classifier(words: Words, decoder: Decoder, lines: list[tuple[int, ...]], post: np.ndarray, lone: set[int], epochs: int = 20) -> Model:
     """Logistic regression on soft labels, by Adagrad over batches; a pair must be in two lines, equal lines with equal labels count once."""
     merged: dict[tuple[int, ...], list[float]] = defaultdict(lambda: [0.0, 0.0])
     for x, p in zip(lines, post):

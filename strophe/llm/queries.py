@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strophe.llm import bpe, dedup, langid, lookalike, neardup, packing, reading, sampling
+from strophe.llm import abuse, bpe, dedup, langid, lookalike, neardup, packing, reading, sampling
 from strophe.session import table
 
 #: Share of the identifiers that p5_sample chooses.
@@ -41,6 +41,14 @@ def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sample(table(spark, sf_dir, "songs").select("row_id", "idx"), SAMPLE_RATE)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.unlabelled_abuse(*(table(spark, sf_dir, t) for t in ("songs", "song_labels", "flag_terms")))
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(*(table(spark, sf_dir, t) for t in ("songs", "song_labels", "flag_terms")))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "songs"))
 
