@@ -48,19 +48,24 @@ TO_CYRILLIC = {ord(b): a for a, b in reversed(list(zip(CYRILLIC, CYRILLIC_AS)))}
 TO_GREEK = {ord(b): a for a, b in reversed(list(zip(GREEK, GREEK_AS)))}
 #: Texts made of these characters alone are their own form (Latin with composed accents, Han, usual signs).
 CLEAN = r"\t\n\r -~\u00A1-\u00AC\u00AE-\u017F\u2010-\u2027\u2030-\u205E\u20A0-\u20BF\u3001-\u3020\u3040-\u3130\u3400-\u9FFF\uAC00-\uD7A3\x{1F000}-\x{1FAFF}\u2190-\u23FF\u2500-\u27FF"
-DIRTY_PY = re.compile("[^" + re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08X}", CLEAN) + "]")
+#: A character outside CLEAN, or any beyond the basic plane: this class compiles to a bitmap.
+DIRTY_PY = re.compile("[^" + re.sub(r"\\x\{\w+\}-\\x\{\w+\}", "", CLEAN) + "]")
+
+
+_FOLDED = re.compile("[" + "".join(chr(c) for c in FOLD if c < 0x10000) + "]|[\U00010000-\U0010ffff]")
 
 
 def fold(text: str) -> str:
     """Invisible and presentation differences undone, accents composed; letters of other scripts stay."""
-    return unicodedata.normalize("NFC", text.translate(FOLD))
+    return unicodedata.normalize("NFC", _FOLDED.sub(lambda m: FOLD.get(ord(m[0]), m[0]) or "", text))
 
 
 FOLDED_TAG = re.compile(r"\[(?:" + "|".join(TAGS) + r")\]", re.I)
 
 
 def dirty(c: Column) -> Column:
-    return c.rlike("[^" + CLEAN + "]")
+    """Whether a text has a character outside CLEAN; most texts are told by their lengths, or by a class of four ranges."""
+    return (F.octet_length(c) != F.length(c)) & c.rlike(r"[^\t-~\u00A1-\u00AC\u00AE-\u017F\u3400-\u9FFF]") & c.rlike("[^" + CLEAN + "]")
 
 
 def tag_pattern(*tags: str) -> str:
@@ -80,8 +85,9 @@ def tagless(c: Column) -> Column:
 
 
 def has_words(c: Column) -> Column:
-    """Whether a text holds a letter or digit besides its tags."""
-    return F.coalesce(tagless(c).rlike(r"[\p{L}\p{N}]"), F.lit(False))
+    """Whether a text holds a letter or digit besides its tags; mostly seen at the first one outside brackets."""
+    outside = r"(?:^|[\]\uFF3D])[^\[\uFF3B\p{L}\p{N}]*+[\p{L}\p{N}]"
+    return F.coalesce(c.rlike(outside) | tagless(c).rlike(r"[\p{L}\p{N}]"), F.lit(False))
 
 
 def plain_tags(c: Column) -> Column:
