@@ -12,6 +12,7 @@ surroundings: `tokens` finds, per token, the script that its unmistakable letter
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,7 +25,14 @@ from strophe.session import stage
 
 #: Letters of one script with no twin in another decide a token's script.
 FOREIGN = re.compile("[\u0251\u0261\u0370-\u03ff\u0400-\u052f\u1f00-\u1fff]")
+_SURE = {
+    "latin": re.compile("[" + "".join(c for c in map(chr, range(0x41, 0x180)) if c.isalpha() and ord(c) not in TO_CYRILLIC and ord(c) not in TO_GREEK) + "]"),
+    "cyrillic": re.compile("[" + "".join(c for c in map(chr, range(0x400, 0x530)) if c.isalpha() and ord(c) not in LATIN) + "]"),
+    "greek": re.compile("[" + "".join(c for c in map(chr, range(0x370, 0x400)) if c.isalpha() and ord(c) not in LATIN) + "]"),
+}
 _TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*")
+#: Up to so many proposals (some 50 bytes each) are broadcast to pick the corpus words that matter; beyond, all distinct words are joined.
+BROADCAST_WORDS = 500_000
 OPEN, MID, CLOSE = "\ue000", "\ue001", "\ue002"
 
 
@@ -52,6 +60,7 @@ def _into(token: str, script: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", token).translate(how))
 
 
+@lru_cache(100_000)
 def propose(token: str, main: str) -> str:
     """The token in its dominant script; main decides where no letter of the token is unmistakable."""
     n = _sure(token)
@@ -59,13 +68,18 @@ def propose(token: str, main: str) -> str:
     return _into(token, best if best in ("latin", "cyrillic", "greek") else "latin")
 
 
+def _main(text: str) -> str:
+    """The script of most unmistakable letters of a text."""
+    n = {s: len(r.findall(text)) for s, r in _SURE.items()}
+    return max(n, key=lambda s: (n[s], s == "latin"))
+
+
 def mark(text: str) -> str:
     """fold(text), each token that holds a look-alike letter given as OPEN spelling MID proposal CLOSE."""
     t = fold(text)
     if not FOREIGN.search(t):
         return t
-    n = _sure(FOLDED_TAG.sub(" ", t))
-    main = max((s for s in n if s != "other"), key=lambda s: (n[s], s == "latin"), default="latin")
+    main = _main(FOLDED_TAG.sub(" ", t))
 
     def one(m: re.Match) -> str:
         w = m[0]
@@ -120,9 +134,14 @@ def repair(df: DataFrame, key: str = "row_id", text: str = "lyrics") -> DataFram
         F.regexp_extract("p", proposal, 1).alias("spelling"), F.lower(F.regexp_extract("p", proposal, 2)).alias("result")
     ).distinct()
     pairs = stage(pairs, "proposals")
-    words = src.select(F.explode(F.split(F.lower("t"), r"[^\p{L}\p{M}]+")).alias("result")).distinct()
+    wanted = pairs.select("result").distinct()
+    words = src.select(F.explode(F.split(F.lower("t"), r"[\x00-@\[-`{-\u00BF\u2000-\u206F\u3000-\u303F\uFF00-\uFF20]+")).alias("result"))
+    if wanted.count() <= BROADCAST_WORDS:
+        words = words.join(F.broadcast(wanted), "result", "left_semi").distinct()
+    else:
+        words = words.distinct().join(wanted, "result", "left_semi")
     several = pairs.groupBy("result").agg((F.min("spelling") < F.max("spelling")).alias("two")).where("two").select("result")
-    known = words.join(pairs.select("result").distinct(), "result", "left_semi").union(several).distinct()
+    known = words.union(several).distinct()
     refused = pairs.join(known, "result", "left_anti").select("spelling").distinct()
     lost = (
         bad.select("k", "t", "m", F.explode(F.regexp_extract_all("m", F.lit(proposal), 1)).alias("spelling"))
