@@ -87,8 +87,12 @@ def shrinking_mask(x: Column, step: int, steps: int) -> Column:
 def euler(x: Column, steps: int, sigma: float, field) -> Column:
     """x carried from time sigma to 0 along field(x, t) in equal steps."""
     times = [sigma * (1 - i / steps) for i in range(steps + 1)]
+
+    def step(x: Column, a: float, b: float) -> Column:
+        return F.transform(x, lambda e: e + (b - a) * field(e, a))
+
     for a, b in zip(times, times[1:]):
-        x = F.transform(x, lambda e, a=a, b=b: e + (b - a) * field(e, a))
+        x = step(x, a, b)
     return x
 
 

@@ -1,20 +1,12 @@
 """The queries of the core operators, and their SQL."""
 
-from collections.abc import Callable
+from strophe.plans import arrays, baseline, text  # noqa: F401  (they register their queries)
+from strophe.plans.registry import ORACLE, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-from strophe.operators import unpack
-from strophe.session import table
-
-
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unpack.unpack(table(spark, sf_dir, "songs").where("source = 'sheetpad'"), "row_id", "lyrics")
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
