@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strophe.operators import arrays, attributes, lyrics, selection, sequences
+from strophe.operators import arrays, attributes, lyrics, selection, sequences, tones
 from strophe.plans.registry import Tables, query
 
 #: Events as sequences: a structure per event type, a token and a tone per event.
@@ -273,3 +273,41 @@ def section_frames(t: Tables) -> DataFrame:
 def cumulative_lengths(t: Tables) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return t.events.select("user_id", "event_id", F.sum(F.length("event_type").cast("bigint")).over(w).alias("upto"))
+
+
+@query(f"SELECT vec_id, list_concat(x[33:36], list_transform(range(1, 33), lambda i: x[i] + x[i + 32] + x[33 + CAST(floor((i - 1) * 8 / 32) AS INTEGER)])) AS y FROM {_E}".replace("x[33 + CAST", "x[33 + CAST"))
+def fuse_conditions(t: Tables) -> DataFrame:
+    """Conditions fused into a sequence: one added, one stretched and added, one put before."""
+    second = F.slice("x", 33, 32)
+    y = attributes.fuse(F.slice("x", 1, 32), [("sum", second), ("input_interpolate", F.slice("x", 33, 8)), ("prepend", F.slice("x", 33, 4))])
+    return vectors(t).select("vec_id", y.alias("y"))
+
+
+_CENTRES = f"(SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(v) AS m FROM (SELECT label, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM {_E}) GROUP BY label, i) GROUP BY label)"
+
+
+@query(f"SELECT a.label AS a, b.label AS b, round(exp(-list_sum(list_transform(range(1, 65), lambda i: (a.c[i] - b.c[i]) * (a.c[i] - b.c[i]))) / 64 / 64), 6) AS kernel FROM {_CENTRES} a, {_CENTRES} b WHERE a.label <= b.label")
+def mean_kernel(t: Tables) -> DataFrame:
+    """The kernel of the discrepancy between the mean vectors of labels, a fixed small set."""
+    cells = vectors(t).select("label", F.posexplode("x").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m"))
+    c = cells.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("s")).select("label", F.col("s.m").alias("c"))
+    a, b = c.select(F.col("label").alias("a"), F.col("c").alias("x")), c.select(F.col("label").alias("b"), F.col("c").alias("y"))
+    return a.join(F.broadcast(b), F.col("a") <= F.col("b")).select("a", "b", F.round(F.exp(-arrays.distance2(F.col("x"), F.col("y")) / 64 / 64), 6).alias("kernel"))
+
+
+@query()
+def word_merges(t: Tables) -> DataFrame:
+    """Words of invented sentences after the merges before the tone rules; a sentence is a user's events."""
+    w = F.array(*map(F.lit, ("不", "去", "一", "好", "儿", "看", "个", "好")))
+    p = F.array(*map(F.lit, ("d", "v", "m", "a", "n", "v", "q", "a")))
+    f = F.array(*map(F.lit, ("u4", "v4", "i1", "ao3", "er2", "an4", "e4", "ao3")))
+    k = by_user(t, (F.col("event_id") % 8).cast("int"))
+    rows = k.select("user_id", F.transform("x", lambda i: F.get(w, i)).alias("words"), F.transform("x", lambda i: F.get(p, i)).alias("tags"), F.transform("x", lambda i: F.array(F.get(f, i))).alias("finals"))
+    return tones.merged_words(rows, "user_id").select("user_id", F.posexplode("merged").alias("seq", "m")).select("user_id", "seq", "m.word", "m.pos")
+
+
+@query(f"SELECT event_id, CAST(coalesce(sum(n) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM (SELECT *, length(event_type) AS n FROM {_SEQ})")
+def running_offset(t: Tables) -> DataFrame:
+    """Where each event's tokens begin among all of its user."""
+    w = Window.partitionBy("user_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return sequence(t).select("event_id", F.coalesce(F.sum(F.length("event_type").cast("bigint")).over(w), F.lit(0)).alias("first"))

@@ -2,10 +2,12 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strophe.functions import chinese
+from strophe.functions import chinese, english
 from strophe.operators import attributes, lexicons, lyrics, sequences, unpack
 from strophe.plans.registry import Tables, query
+from strophe.sources.records import RECORD
 
 #: Words of the English documents, as a lexicon would list them, and those of the notes.
 _WORDS = "SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(string_split_regex(text, '[^A-Za-z]+')) AS w FROM documents WHERE lang = 'en' AND kind = '{kind}') WHERE w <> ''"
@@ -244,3 +246,29 @@ def prompt_lookup(t: Tables) -> DataFrame:
 @query("""SELECT row_id, idx, lyrics IS NOT NULL AND prompt_wav IS NOT NULL AND idx IS NOT NULL AS complete FROM songs""")
 def required_fields(t: Tables) -> DataFrame:
     return t.songs.select("row_id", "idx", (F.col("lyrics").isNotNull() & F.col("prompt_wav").isNotNull() & F.col("idx").isNotNull()).alias("complete"))
+
+
+@query("SELECT doc_id, strip_accents(text) AS text FROM documents WHERE lang IN ('de', 'es', 'fr')")
+def strip_accents(t: Tables) -> DataFrame:
+    return t.documents.where("lang in ('de', 'es', 'fr')").select("doc_id", english.strip_accents("text").alias("text"))
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(translate(strip_accents(text), ';:，；：。！？’', ',,,,,.!?'''), '[^ A-Za-z''.,?!\-]', '', 'g'), '(?i)i\.e\.', 'that is', 'g'), '(?i)e\.g\.', 'for example', 'g') AS text FROM documents WHERE lang = 'en'")
+def normalise_english(t: Tables) -> DataFrame:
+    return t.documents.where("lang = 'en'").select("doc_id", english.normalise_english(english.strip_accents("text")).alias("text"))
+
+
+@query("""SELECT w.word, coalesce(CASE WHEN upper(w.word) = 'A' THEN 'EY1' END, n.phones, g.phones) AS phones FROM (""" + _WORDS.format(kind="lyric") + ") w LEFT JOIN (" + _entries("note", "N_") + ") n ON w.word = n.word LEFT JOIN (" + _entries("guide", "G_") + ") g ON w.word = g.word AND n.word IS NULL")
+def tiered_lookup(t: Tables) -> DataFrame:
+    """Pronunciations by tiers: spelled, the first lexicon, the second."""
+    rows = words(t, "lyric").join(entries(t, "note", "N_").withColumnRenamed("phones", "n"), "word", "left").join(entries(t, "guide", "G_").withColumnRenamed("phones", "g"), "word", "left")
+    return rows.select("word", F.coalesce(F.get(english.spelled(F.col("word")), 0), "n", "g").alias("phones"))
+
+
+@query("SELECT row_id, json_extract_string(line, '$.idx') AS idx, json_extract_string(line, '$.lyrics') AS lyrics FROM raw_lines WHERE line IS NOT NULL AND json_valid(line) AND json_type(line) = 'OBJECT'")
+def raw_records(t: Tables) -> DataFrame:
+    """Records of raw lines by a declared schema; broken lines are left out."""
+    schema = T.StructType([*RECORD.fields, T.StructField("_broken", T.StringType())])
+    r = F.from_json("line", schema, {"columnNameOfCorruptRecord": "_broken", "allowSingleQuotes": "false"})
+    rows = t.raw_lines.where(F.col("line").rlike(r"^\s*\{")).select("row_id", r.alias("r")).where("r is not null and r._broken is null")
+    return rows.select("row_id", "r.idx", "r.lyrics")
