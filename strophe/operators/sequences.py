@@ -33,17 +33,19 @@ def merge_runs(df: DataFrame, group: str, order: list[str], start: str, end: str
     (group, run, start, end, structure, lyric); run counts the runs of a group from
     1. A merged row has the first start and lyric and the last end. Null structures
     are a structure of their own; ties in order are broken by all other columns.
+    One shuffle on the group.
     """
     w = Window.partitionBy(group).orderBy(*order, start, end, structure, lyric)
     changed = F.when(F.col(structure).eqNullSafe(F.lag(structure).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
     rows = df.select(group, *order, start, end, structure, lyric).withColumn("_new", changed).withColumn("_n", F.row_number().over(w))
     rows = rows.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     inside = Window.partitionBy(group, "run").orderBy("_n")
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sung = F.coalesce(F.col(structure).isin(*VOCAL), F.lit(False))
-    rows = rows.withColumn("_next", F.lead(end).over(inside)).withColumn("_has", F.lead(F.lit(1)).over(inside).isNotNull())
-    stay = rows.where(sung).select(group, "run", start, F.when(F.col("_has"), F.col("_next")).otherwise(F.col(end)).alias(end), structure, lyric)
-    one = rows.where(~sung).groupBy(group, "run", structure).agg(F.min_by(start, "_n").alias(start), F.max_by(end, "_n").alias(end), F.min_by(lyric, "_n").alias(lyric))
-    return stay.unionByName(one.select(group, "run", start, end, structure, lyric))
+    follows = F.lead(F.lit(1)).over(inside).isNotNull()
+    ends = F.when(~sung, F.last(end).over(whole)).when(follows, F.lead(end).over(inside)).otherwise(F.col(end))
+    rows = rows.withColumn("_end", ends).where(sung | (F.col("_new") == 1))
+    return rows.select(group, "run", start, F.col("_end").alias(end), structure, lyric)
 
 
 def annotate_tokens(df: DataFrame, vocab: DataFrame, key: str, text: str, max_sentences: int = 200) -> DataFrame:
