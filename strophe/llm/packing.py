@@ -20,6 +20,8 @@ from strophe.session import stage
 
 #: Items of a shard, on the average; islands of a shard; packings of an island; crossovers of each of two epochs.
 SHARD, ISLANDS, PACKINGS, CROSSOVERS = 1_000, 2, 4, 12
+#: Most kinds of containers.
+CAPACITIES = 1_000
 #: A container filled less is packed anew with those of other shards, so often at most.
 SLACK, ROUNDS = 0.98, 2
 
@@ -133,7 +135,7 @@ def _epoch(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _pack_once(items: DataFrame, name: str, turn: int) -> DataFrame:
     """(pack_name, capacity, k, part, n, container): items (pack_name, capacity, k, part, n), each in a container of its shard."""
     count = items.groupBy("pack_name").count()
-    shards = {r.pack_name: max(1, -(-r["count"] // SHARD)) for r in count.collect()}  # a row a capacity
+    shards = {r.pack_name: max(1, -(-r["count"] // SHARD)) for r in count.collect()}  # a row a kind of container
     if not shards:
         return items.withColumn("container", F.lit(""))
     many = F.create_map(*(F.lit(x) for kv in shards.items() for x in kv))
@@ -171,8 +173,10 @@ def pack(sizes: DataFrame, containers: DataFrame, key: str = "doc_id", size: str
     holds; items are shuffled once a round and capacity. Slack containers, a few a
     shard, are pooled for a second round.
     """
-    caps = containers.select("pack_name", F.col("capacity").cast("int").alias("capacity")).where("capacity > 0").distinct()
-    items = sizes.select(F.col(key).alias("k"), F.coalesce(F.col(size).cast("bigint"), F.lit(0).cast("bigint")).alias("n")).crossJoin(F.broadcast(caps))
+    caps = [(r.pack_name, r.capacity) for r in containers.select("pack_name", F.col("capacity").cast("int").alias("capacity")).where("capacity > 0").distinct().orderBy("pack_name", "capacity").limit(CAPACITIES).collect()]
+    every = F.array(*(F.struct(F.lit(p).alias("pack_name"), F.lit(c).alias("capacity")) for p, c in caps)) if caps else F.array().cast("array<struct<pack_name string, capacity int>>")
+    known = stage(sizes.select(F.col(key).alias("k"), F.coalesce(F.col(size).cast("bigint"), F.lit(0).cast("bigint")).alias("n")), "sizes")
+    items = known.select("k", "n", F.explode(every).alias("c")).select("c.pack_name", "c.capacity", "k", "n")
     whole = items.where("n <= capacity").select("pack_name", "capacity", "k", F.lit(0).alias("part"), "n")
     large = items.where("n > capacity").select("pack_name", "capacity", "k", "n", F.floor(F.col("n") / F.col("capacity")).cast("int").alias("full"))
     full = large.select("pack_name", "capacity", "k", F.explode(F.sequence(F.lit(1), F.col("full"))).alias("part"), F.col("capacity").cast("bigint").alias("n"))
