@@ -114,3 +114,70 @@ def distance2(x: Column, y: Column) -> Column:
 def resampled_length(n: Column, rate: Column, wanted: Column) -> Column:
     """Length at another rate, half to even."""
     return F.rint(n * wanted / rate).cast("bigint")
+
+
+def euler_tempered(noise: Column, steps: int, temperature: float, field, sigma: float = 1.0) -> Column:
+    """As euler, but from zeros if the temperature is below sigma; where time crosses the temperature the state jumps to its estimate blended with the noise."""
+    times = [sigma * (1 - i / steps) for i in range(steps + 1)]
+    x = noise if temperature >= sigma else F.transform(noise, lambda _: F.lit(0.0))
+
+    def step(x: Column, a: float, b: float) -> Column:
+        if a > temperature >= b:
+            return F.zip_with(x, noise, lambda e, n: (1 - b) * (e - field(e, a)) + b * n)
+        return F.transform(x, lambda e: e + (b - a) * field(e, a))
+
+    for a, b in zip(times, times[1:]):
+        x = step(x, a, b)
+    return x
+
+
+def velocity_sampler(x: Column, steps: int, model) -> Column:
+    """A sampler for velocity models without noise: at each time the estimates of signal and noise, recombined for the next time."""
+    times = [1 - i / steps for i in range(steps)]
+    scale = lambda t: (math.cos(t * math.pi / 2), math.sin(t * math.pi / 2))
+
+    def step(x: Column, t: float, after: float | None) -> Column:
+        (a, s), nxt = scale(t), scale(after) if after is not None else (1.0, 0.0)
+
+        def one(e: Column) -> Column:
+            v = model(e, t)
+            return (e * a - v * s) * nxt[0] + (e * s + v * a) * nxt[1]
+
+        return F.transform(x, one)
+
+    for t, after in zip(times, [*times[1:], None]):
+        x = step(x, t, after)
+    return x
+
+
+def variation(x: Column, noise: Column, strength: float) -> Column:
+    """A blend of given data and noise by a strength of at most 1."""
+    s = min(strength, 1.0)
+    return F.zip_with(x, noise, lambda e, n: e * (1 - s) + n * s)
+
+
+def rotary_2d(position: Column, width: int, dim: int, base: float = 10000.0) -> Column:
+    """Angles of a position in a grid of rows of the given width: by row, then by column, each over half of dim and repeated."""
+    half = dim // 2
+    n = half // 2
+    row, column = F.floor(position / F.lit(width)), F.pmod(position, F.lit(width))
+    at = F.sequence(F.lit(0), F.lit(half - 1))
+    angles = lambda p: F.transform(at, lambda i: p * F.pow(F.lit(base), -(F.pmod(i, F.lit(n)) * 2.0 / half)))
+    return F.concat(angles(row), angles(column))
+
+
+def gated(x: Column) -> Column:
+    """First half times the sigmoid-weighted second half."""
+    h = (F.size(x) / 2).cast("int")
+    return F.zip_with(F.slice(x, F.lit(1), h), F.slice(x, h + 1, h), lambda a, g: a * g / (1 + F.exp(-g)))
+
+
+def clipped(x: Column) -> Column:
+    """Soft clipping: the hyperbolic tangent."""
+    return F.transform(x, F.tanh)
+
+
+def table_row(table: Column, position: Column, scale: float) -> Column:
+    """A row of an embedding table, scaled; a position beyond it is an error."""
+    row = F.get(table, position)
+    return F.transform(F.coalesce(row, F.raise_error(F.lit("a position beyond the table")).cast("array<double>")), lambda e: e * scale)

@@ -84,3 +84,39 @@ def nearest_code(df: DataFrame, codebook: DataFrame, x: str, code: str = "code",
     book = codebook.agg(F.array_sort(F.collect_list(F.struct(F.col(code).alias("code"), F.col(vector).alias("vector")))).alias("_book"))
     near = F.array_min(F.transform("_book", lambda c: F.struct(distance2(F.col(x), c["vector"]).alias("d"), c["code"].alias("code"), c["vector"].alias("vector"))))
     return df.crossJoin(F.broadcast(book)).withColumn("_n", near).withColumn("code", F.col("_n.code")).withColumn("residual", F.zip_with(x, "_n.vector", lambda a, b: a - b)).drop("_n", "_book")
+
+
+def collated_waves(df: DataFrame, group: str, order: str, wave: str, channels: str) -> DataFrame:
+    """(group, waves, lengths): the waves of a batch in order, filled with zeros to the longest, and their lengths; batches of mixed channel counts are an error."""
+    s = F.array_sort(F.collect_list(F.struct(order, F.col(wave).alias("w"))))
+    kept = df.groupBy(group).agg(s.alias("_s"), F.max(F.size(wave)).alias("_m"), F.count_distinct(channels).alias("_c"))
+    fill = lambda w: F.concat(w, F.array_repeat(F.lit(0.0), F.col("_m") - F.size(w)))
+    waves = F.when(F.col("_c") <= 1, F.transform("_s", lambda x: fill(x["w"]))).otherwise(F.raise_error(F.lit("mixed channel counts in a batch")).cast("array<array<double>>"))
+    return kept.select(group, waves.alias("waves"), F.transform("_s", lambda x: F.size(x["w"])).alias("lengths"))
+
+
+def masked_length(mask: Column) -> Column:
+    """How many ones a mask begins with; ones behind a zero are an error."""
+    first = F.coalesce(F.nullif(F.array_position(mask, 0), F.lit(0)) - 1, F.size(mask).cast("bigint"))
+    ones = F.aggregate(mask, F.lit(0).cast("bigint"), lambda a, m: a + m)
+    return F.when(first == ones, ones).otherwise(F.raise_error(F.lit("a mask with holes")).cast("bigint"))
+
+
+def by_kind(names: dict[str, str], conditions: Column, how: str) -> Column:
+    """The conditions (a map by name) that are fused in one way; names says how each is, and an unknown name is an error."""
+    known = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
+    checked = F.map_filter(conditions, lambda k, _: F.coalesce(known[k], F.raise_error(F.concat(F.lit("unknown condition "), k)).cast("string")) == how)
+    return checked
+
+
+def attended(df: DataFrame, group: str, pos: str, query: str, key: str, value: str, reach: int | None = None) -> DataFrame:
+    """(group, pos, out): scaled-dot attention of each row over the rows of its group at or before it, at most reach back. Groups are short sequences; a demonstration of the join, not of a model."""
+    from strophe.operators.arrays import total
+
+    q = df.select(group, F.col(pos).alias("_q"), F.col(query).alias("_x"))
+    k = df.select(group, F.col(pos).alias("_k"), F.col(key).alias("_y"), F.col(value).alias("_v"))
+    near = F.col("_k") <= F.col("_q")
+    near = near & (F.col("_k") >= F.col("_q") - reach) if reach is not None else near
+    dot = total(F.zip_with("_x", "_y", lambda a, b: a * b)) / F.sqrt(F.size("_x"))
+    pairs = q.join(k, group).where(near).withColumn("_e", F.exp(dot))
+    return pairs.groupBy(group, F.col("_q").alias(pos)).agg((F.sum(F.col("_e") * F.col("_v")) / F.sum("_e")).alias("out"))

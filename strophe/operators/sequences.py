@@ -163,3 +163,26 @@ def script_runs(text: Column) -> Column:
     found = F.regexp_extract_all(F.regexp_replace(text, "\n", "."), F.lit(r"[一-龥]+|[,.!?…\-]|[^一-龥,.!?…\-]+"), 0)
     kind = lambda r: F.when(r.rlike("^[一-龥]"), "zh").when(r.rlike(r"^[,.!?…\-]$"), "sp").otherwise("en")
     return F.transform(found, lambda r: F.struct(kind(r).alias("script"), r.alias("run")))
+
+
+def boundaries(tags: Column) -> Column:
+    """[start, end) of each section of a token array, from positions that are tags (true) to the next or the end."""
+    at = F.filter(F.transform(tags, lambda t, i: F.when(t, i)), lambda i: i.isNotNull())
+    return F.transform(at, lambda s, i: F.struct(s.alias("start"), F.coalesce(F.get(at, i + 1), F.size(tags)).alias("end")))
+
+
+def positions(n: Column, start: Column) -> Column:
+    """0 to n - 1 counted from start, never below 0."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.greatest(i - start, F.lit(0)))
+
+
+def summaries(n: int, size: int) -> list[int]:
+    """Of n outputs, those that sum up a block: every one behind size others."""
+    return [i for i in range(n) if (i + 1) % (size + 1) == 0]
+
+
+def split_word(word: Column, parts: Column) -> Column:
+    """A word cut at its shortest part (of equal ones the first): [before or part, rest]."""
+    short = F.get(F.array_sort(F.transform(parts, lambda p, i: F.struct(F.length(p).alias("n"), i.alias("i"), p.alias("p")))), 0)["p"]
+    at = F.instr(word, short)
+    return F.when(at == 1, F.array(short, F.substring(word, F.length(short) + 1, F.length(word)))).otherwise(F.array(F.substring(word, F.lit(1), F.length(word) - F.length(short)), short))

@@ -311,3 +311,49 @@ def running_offset(t: Tables) -> DataFrame:
     """Where each event's tokens begin among all of its user."""
     w = Window.partitionBy("user_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return sequence(t).select("event_id", F.coalesce(F.sum(F.length("event_type").cast("bigint")).over(w), F.lit(0)).alias("first"))
+
+
+@query(f"""SELECT vec_id, {_R.format(x='list_transform(x, lambda e: pow(0.75, 4) * e)')} AS tempered, {_R.format(x='list_transform(range(1, 33), lambda i: x[i] * 0.75 + x[i + 32] * 0.25)')} AS varied,
+    {_R.format(x='list_transform(range(1, 33), lambda i: x[i] * x[i + 32] / (1 + exp(-x[i + 32])))')} AS gated, {_R.format(x='list_transform(x, lambda e: tanh(e))')} AS clipped FROM {_E}""")
+def sampler_steps(t: Tables) -> DataFrame:
+    """Tempered Euler steps along x from zeros, jumping at 0.75; a variation, a gate, soft clipping."""
+    x, a, b = F.col("x"), F.slice("x", 1, 32), F.slice("x", 33, 32)
+    tempered = arrays.euler_tempered(x, 4, 0.75, lambda e, _: e)
+    return vectors(t).select("vec_id", rounded(tempered).alias("tempered"), rounded(arrays.variation(a, b, 0.25)).alias("varied"), rounded(arrays.gated(x)).alias("gated"), rounded(arrays.clipped(x)).alias("clipped"))
+
+
+@query("""SELECT DISTINCT p, [round((p // 10) * pow(10000.0, -0.0), 5) + 0.0, round((p // 10) * pow(10000.0, -0.5), 5) + 0.0, round((p // 10) * pow(10000.0, -0.0), 5) + 0.0, round((p // 10) * pow(10000.0, -0.5), 5) + 0.0,
+    round((p % 10) * pow(10000.0, -0.0), 5) + 0.0, round((p % 10) * pow(10000.0, -0.5), 5) + 0.0, round((p % 10) * pow(10000.0, -0.0), 5) + 0.0, round((p % 10) * pow(10000.0, -0.5), 5) + 0.0] AS y FROM (SELECT vec_id % 200 AS p FROM embeddings)""")
+def rotary_grid(t: Tables) -> DataFrame:
+    return t.embeddings.select((F.col("vec_id") % 200).alias("p")).distinct().select("p", rounded(arrays.rotary_2d(F.col("p"), 10, 8)).alias("y"))
+
+
+@query(f"SELECT vec_id, {_R.format(x='list_transform(x, lambda e: 2 * e)')} AS y FROM {_E}")
+def velocity_steps(t: Tables) -> DataFrame:
+    return vectors(t).select("vec_id", rounded(arrays.velocity_sampler(F.col("x"), 2, lambda e, _: -e)).alias("y"))
+
+
+@query(f"SELECT user_id, pos, round(sum(e * value) / sum(e), 6) AS out FROM (SELECT q.user_id, q.pos, k.value, exp((q.token * k.token + 1.0) / 100 / sqrt(2)) AS e FROM {_SEQ} q JOIN {_SEQ} k ON q.user_id = k.user_id AND k.pos <= q.pos AND k.pos >= q.pos - 5) GROUP BY 1, 2")
+def band_attention(t: Tables) -> DataFrame:
+    """Attention over the five events before each, a band join within a user."""
+    x = F.array(F.col("token") / 10, F.lit(0.1))
+    rows = sequence(t).select("user_id", "pos", x.alias("x"), "value")
+    return attributes.attended(rows, "user_id", "pos", "x", "x", "value", 5).select("user_id", "pos", F.round("out", 6).alias("out"))
+
+
+@query(f"SELECT label, list(list_transform(range(0, m), lambda i: coalesce(y[i + 1], 0.0)) ORDER BY vec_id) AS waves, list(CAST(len(y) AS INTEGER) ORDER BY vec_id) AS lengths FROM (SELECT *, max(len(y)) OVER (PARTITION BY label) AS m FROM (SELECT vec_id, label, x[1:1 + vec_id % 6] AS y FROM {_E})) GROUP BY label")
+def collate_waves(t: Tables) -> DataFrame:
+    rows = vectors(t).select("vec_id", "label", F.slice("x", F.lit(1), (1 + F.col("vec_id") % 6).cast("int")).alias("y"), F.lit(1).alias("channels"))
+    return attributes.collated_waves(rows, "label", "vec_id", "y", "channels")
+
+
+@query("SELECT vec_id, CAST(vec_id % 12 AS BIGINT) AS n, list_transform(range(0, 12), lambda i: CAST(greatest(i - vec_id % 5, 0) AS INTEGER)) AS positions FROM embeddings")
+def masks_and_positions(t: Tables) -> DataFrame:
+    n = (F.col("vec_id") % 12).cast("int")
+    return t.embeddings.select("vec_id", attributes.masked_length(sequences.mask(n, 12)).alias("n"), sequences.positions(F.lit(12), (F.col("vec_id") % 5).cast("int")).alias("positions"))
+
+
+@query("SELECT event_id, q AS head, q // 4 AS kv FROM events, range(8) r(q)")
+def repeated_heads(t: Tables) -> DataFrame:
+    """Query heads with the key/value head they share, four each."""
+    return t.events.select("event_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))).alias("head")).withColumn("kv", F.floor(F.col("head") / 4))

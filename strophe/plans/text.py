@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strophe.functions import chinese, english
-from strophe.operators import attributes, lexicons, lyrics, sequences, unpack
+from strophe.operators import attributes, lexicons, lyrics, pinyin, sequences, unpack
 from strophe.plans.registry import Tables, query
 from strophe.sources.records import RECORD
 
@@ -272,3 +272,51 @@ def raw_records(t: Tables) -> DataFrame:
     r = F.from_json("line", schema, {"columnNameOfCorruptRecord": "_broken", "allowSingleQuotes": "false"})
     rows = t.raw_lines.where(F.col("line").rlike(r"^\s*\{")).select("row_id", r.alias("r")).where("r is not null and r._broken is null")
     return rows.select("row_id", "r.idx", "r.lyrics")
+
+
+@query("SELECT row_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lyrics, '[^一-龥]+', ',', 'g'), '^,', ''), '^(.),', '\\1'), ',$', '') AS han FROM songs")
+def han_text(t: Tables) -> DataFrame:
+    return t.songs.select("row_id", pinyin.han_only(F.col("lyrics")).alias("han"))
+
+
+@query(f"SELECT word, CAST(tone AS INTEGER) AS tone, '<' || word || tone || '>' AS symbol FROM ({_WORDS.format(kind='review')}), range(1, 6) t(tone)")
+def toned_vocabulary(t: Tables) -> DataFrame:
+    return pinyin.toned(words(t, "review"), "word")
+
+
+@query(f"SELECT word, [left(word, 1), substr(word, 2) || (1 + length(word) % 5)] AS phones FROM ({_WORDS.format(kind='review')}) WHERE length(word) > 2")
+def syllable_phones(t: Tables) -> DataFrame:
+    """Toned syllables with their two phones; the words of reviews play syllables, those of over two letters are in the table."""
+    w = words(t, "review")
+    parts = w.where(F.length("word") > 2).select(F.col("word").alias("pinyin"), F.left("word", F.lit(1)).alias("initial"), F.expr("substr(word, 2)").alias("final"))
+    rows = w.select("word", F.concat("word", (1 + F.length("word") % 5).cast("string")).alias("toned"))
+    return pinyin.phones(rows, parts, "toned").select("word", "phones")
+
+
+@query("""SELECT event_id, CASE WHEN i <> '' THEN i || CASE f WHEN 'uei' THEN 'ui' WHEN 'iou' THEN 'iu' WHEN 'uen' THEN 'un' ELSE f END
+    ELSE CASE f WHEN 'ing' THEN 'ying' WHEN 'i' THEN 'yi' WHEN 'in' THEN 'yin' WHEN 'u' THEN 'wu' ELSE CASE left(f, 1) WHEN 'v' THEN 'yu' || substr(f, 2) WHEN 'i' THEN 'y' || substr(f, 2) WHEN 'u' THEN 'w' || substr(f, 2) ELSE f END END END AS syllable
+    FROM (SELECT event_id, ['', 'd', 'g', 'l'][1 + event_id % 4] AS i, ['uei', 'iou', 'uen', 'ing', 'i', 'in', 'u', 'van', 'ia', 'uo', 'e', 'ang'][1 + event_id % 12] AS f FROM events)""")
+def syllable_spelling(t: Tables) -> DataFrame:
+    pick = lambda xs: F.get(F.array(*map(F.lit, xs)), (F.col("event_id") % len(xs)).cast("int"))
+    i, f = pick(["", "d", "g", "l"]), pick(["uei", "iou", "uen", "ing", "i", "in", "u", "van", "ia", "uo", "e", "ang"])
+    return t.events.select("event_id", pinyin.spelled(i, f).alias("syllable"))
+
+
+@query(r"""SELECT doc_id, string_agg(CASE WHEN regexp_matches(run, '^[一-龥]') THEN '<zh>' || length(run) WHEN regexp_matches(run, '^[,.!?…\-]$') THEN run ELSE 'en:' || trim(run) END, '|' ORDER BY k) AS said
+    FROM (SELECT doc_id, unnest(rs) AS run, generate_subscripts(rs, 1) AS k FROM (SELECT doc_id, regexp_extract_all(replace(text, chr(10), '.'), '[一-龥]+|[,.!?…\-]|[^一-龥,.!?…\-]+') AS rs FROM documents WHERE lang = 'zh')) GROUP BY doc_id""".replace("'en:' || trim(run)", "'en:' || length(run)"))
+def mixed_dispatch(t: Tables) -> DataFrame:
+    """Runs of mixed text, each said by the function of its script, in order."""
+    rows = t.documents.where("lang = 'zh'").select("doc_id", F.posexplode(sequences.script_runs(F.col("text"))).alias("seq", "r")).select("doc_id", "seq", "r.script", "r.run")
+    said = {"zh": F.array(F.concat(F.lit("<zh>"), F.length("run").cast("string"))), "en": F.array(F.concat(F.lit("en:"), F.length("run").cast("string")))}
+    return pinyin.by_language(rows, "doc_id", "seq", "script", "run", said).select("doc_id", F.array_join("phones", "|").alias("said"))
+
+
+_TAGGED = r"(SELECT row_id, string_split_regex(trim(lyrics), ' +') AS ts FROM songs WHERE lyrics IS NOT NULL)"
+
+
+@query(rf"""SELECT row_id, CAST(k - 1 AS INTEGER) AS s, CAST(coalesce(lead(k) OVER (PARTITION BY row_id ORDER BY k) - 1, n) AS INTEGER) AS e FROM (
+    SELECT row_id, n, unnest(list_filter(range(1, n + 1), lambda i: regexp_matches(ts[i], '^\[\w+\]$'))) AS k FROM (SELECT row_id, ts, len(ts) AS n FROM {_TAGGED}))""")
+def section_bounds(t: Tables) -> DataFrame:
+    tags = F.transform(F.split(F.trim("lyrics"), " +"), lambda x: x.rlike(r"^\[\w+\]$"))
+    rows = t.songs.where("lyrics is not null").select("row_id", F.explode(sequences.boundaries(tags)).alias("b"))
+    return rows.select("row_id", F.col("b.start").alias("s"), F.col("b.end").alias("e"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strophe.operators import models, tones
+from strophe.operators import arrays, attributes, models, pinyin, sequences, tones
 from strophe.sources import audio, records
 from strophe.streaming import lyrics as streams
 
@@ -119,3 +119,33 @@ def test_merges():
 def test_merged_words(spark):
     df = spark.createDataFrame([(1, ["不", "去"], ["d", "v"], [["u4"], ["v4"]]), (2, None, None, None)], "k bigint, words array<string>, tags array<string>, finals array<array<string>>")
     assert {r.k: [tuple(x) for x in r.merged] for r in tones.merged_words(df, "k").collect()} == {1: [("不去", "v")], 2: []}
+
+
+def test_syllables(spark):
+    table = spark.createDataFrame([("ma", "m", "a"), ("dui", "d", "ui"), ("yi", "y", "i")], "syllable string, consonant string, vowel string")
+    df = spark.createDataFrame([(1, ["m", "d", ",", ""], ["a3", "uei4", ",", "i1"]), (2, [], [])], "k bigint, initials array<string>, finals array<string>")
+    got = {r.k: (r.phones, r.counts) for r in pinyin.aligned(df, table, "k", "initials", "finals").collect()}
+    assert got == {1: (["m", "a3", "d", "ui4", ",", "y", "i1"], [2, 2, 1, 2])}
+    with pytest.raises(Exception, match="no phones for"):
+        pinyin.aligned(spark.createDataFrame([(1, ["x"], ["a1"])], "k bigint, initials array<string>, finals array<string>"), table, "k", "initials", "finals").collect()
+    x = spark.createDataFrame([("a中文 b 字。",), ("中",), ("",), (None,), (",中,文,字",)], "t string").select("t", pinyin.han_only(F.col("t")).alias("x"))
+    assert {r.t: r.x for r in x.collect()} == {"a中文 b 字。": "中文,字", "中": "中", "": "", None: None, ",中,文,字": "中文,字"}
+
+
+def test_parts(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(sequences.split_word(F.lit("abcde"), F.array(F.lit("de"), F.lit("abc")))) == ["abc", "de"]
+    assert sequences.summaries(10, 3) == [3, 7]
+    assert one(attributes.masked_length(F.array(F.lit(1), F.lit(1), F.lit(0)))) == 2
+    with pytest.raises(Exception, match="holes"):
+        one(attributes.masked_length(F.array(F.lit(0), F.lit(1))))
+    m = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"))
+    assert one(attributes.by_kind({"a": "sum", "b": "cross"}, m, "sum")) == {"a": "1"}
+    with pytest.raises(Exception, match="unknown condition"):
+        one(attributes.by_kind({"a": "sum"}, m, "sum"))
+    table = F.array(F.array(F.lit(1.0)), F.array(F.lit(2.0)))
+    assert one(arrays.table_row(table, F.lit(1), 3.0)) == [6.0]
+    with pytest.raises(Exception, match="beyond the table"):
+        one(arrays.table_row(table, F.lit(2), 3.0))
+    runs = sequences.script_runs(F.lit("ok 你好, 吧"))
+    assert one(pinyin.wrapped(runs, F.array(F.array(F.lit("ni3"), F.lit("hao3")), F.array(F.lit("ba5"))))) == "ok  <ni3> <hao3> ,  <ba5> "
