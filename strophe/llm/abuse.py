@@ -24,7 +24,7 @@ from strophe.llm.lookalike import skeleton
 
 CATEGORIES = ("insult", "hate", "threat", "sexual")
 #: Most labelled songs that the model is fitted on: those with the smallest hashes.
-FIT_SONGS = 3_000
+FIT_SONGS = 6_000
 #: A song with a line of at least this probability is abusive.
 THRESHOLD = 0.5
 # Words that address someone, in the six languages.
