@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once: inside a lambda an expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
@@ -16,14 +21,18 @@ def mean(x: Column) -> Column:
 
 def layer_norm(x: Column, epsilon: float = 1e-5, gain: float = 1.0, bias: float = 0.0) -> Column:
     """Zero mean and unit population variance."""
-    m = mean(x)
-    v = total(F.transform(x, lambda e: (e - m) * (e - m))) / F.size(x)
-    return F.transform(x, lambda e: (e - m) / F.sqrt(v + epsilon) * gain + bias)
+    centred = let(mean(x), lambda m: F.transform(x, lambda e: e - m))
+
+    def scaled(y: Column) -> Column:
+        deviation = F.sqrt(total(F.transform(y, lambda e: e * e)) / F.size(y) + epsilon)
+        return let(deviation, lambda d: F.transform(y, lambda e: e / d * gain + bias))
+
+    return let(centred, scaled)
 
 
 def unit_norm(x: Column, epsilon: float = 1e-12) -> Column:
-    n = F.greatest(F.sqrt(total(F.transform(x, lambda e: e * e))), F.lit(epsilon))
-    return F.transform(x, lambda e: e / n)
+    norm = F.greatest(F.sqrt(total(F.transform(x, lambda e: e * e))), F.lit(epsilon))
+    return let(norm, lambda n: F.transform(x, lambda e: e / n))
 
 
 def noised(x: Column, noise: Column, t: Column) -> tuple[Column, Column, Column]:
@@ -51,9 +60,8 @@ def rotary(x: Column, position: Column, dim: int, base: float = 10000.0) -> Colu
     """The first dim elements rotated by position times each pair's frequency; others stay."""
     half = dim // 2
     head = F.slice(x, 1, dim)
-    turned = rotate_half(head)
     angle = lambda i: position * F.pow(F.lit(base), -(F.pmod(i, F.lit(half)) * 2.0 / dim))
-    out = F.transform(head, lambda e, i: e * F.cos(angle(i)) + F.get(turned, i) * F.sin(angle(i)))
+    out = let(rotate_half(head), lambda turned: F.transform(head, lambda e, i: e * F.cos(angle(i)) + F.get(turned, i) * F.sin(angle(i))))
     return F.concat(out, F.slice(x, dim + 1, F.greatest(F.size(x) - dim, F.lit(0))))
 
 

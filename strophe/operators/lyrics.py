@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strophe.functions.characters import TAGS
+from strophe.operators.arrays import let
 
 # Marks that become periods, signs that go, and the tags before text that need no comma.
 MARKS = "[!?;,:…！？，]"
@@ -23,17 +24,18 @@ def clean_lyrics(text: Column) -> Column:
     """
     x = F.regexp_replace(text, MARKS, ".")
     x = F.regexp_replace(x, rf"(?i)({_TAG}){_WS}*[,.]", "$1 ")
-    parts = F.filter(F.split(F.regexp_replace(x, r"(\[[^\]]+\])", f"{_CUT}$1{_CUT}"), _CUT), lambda p: F.trim(F.regexp_replace(p, _WS, " ")) != "")
-    squeeze = lambda p: F.trim(F.regexp_replace(p, _WS + "+", " "))
-    is_tag = lambda p: p.rlike(rf"^{_TAG}$")
-    clean = F.transform(parts, lambda p: F.when(F.lower(squeeze(p)).rlike(rf"^{_TAG}$"), F.lower(squeeze(p))).otherwise(squeeze(F.regexp_replace(p, GONE, ""))))
+    x = F.regexp_replace(x, _WS + "+", " ")
+    parts = F.filter(F.split(F.regexp_replace(x, r"(\[[^\]]+\])", f"{_CUT}$1{_CUT}"), _CUT), lambda p: F.trim(p) != "")
+    is_tag = lambda p: p.isin(*(f"[{t}]" for t in TAGS))
+    text_part = lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, GONE, ""), " +", " "))
+    clean = F.transform(F.transform(parts, lambda p: F.trim(p)), lambda p: F.when(is_tag(F.lower(p)), F.lower(p)).otherwise(text_part(p)))
 
-    def joined(p: Column, i: Column) -> Column:
-        following = F.get(clean, i + 1)
+    def joined(p: Column, following: Column) -> Column:
         comma = F.when(is_tag(p) & is_tag(following), p != following).otherwise((is_tag(p) | is_tag(following)) & ~p.isin(*SUNG))
         return F.concat(p, F.when(is_tag(p), " ").otherwise(""), F.when(following.isNotNull() & F.coalesce(comma, F.lit(False)), " , ").otherwise(""))
 
-    x = F.array_join(F.transform(clean, joined), "")
+    # neighbours come as a second array: what a lambda names is computed anew for each element
+    x = F.array_join(let(clean, lambda c: F.zip_with(c, F.slice(c, 2, F.greatest(F.size(c), F.lit(1))), joined)), "")
     for a, b in ((f"{_WS}+,", " ,"), (f",{_WS}+", ", "), (r"\.{2,}", "."), (rf"\.{_WS}*,", ","), (f"([一-鿿]){_WS}+([一-鿿])", "$1.$2")):
         x = F.regexp_replace(x, a, b)
     return F.trim(x)

@@ -8,6 +8,8 @@ Operators on arrays never shuffle.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strophe.operators.arrays import let
+
 # Structures and their numbers; those that are sung; other names of some.
 STRUCTURES = {"verse": 0, "chorus": 1, "bridge": 2, "inst": 3, "intro": 4, "outro": 5, "silence": 6}
 VOCAL = ("verse", "chorus", "bridge")
@@ -112,7 +114,7 @@ def targets(x: Column, width: int, eos: Column, special: Column) -> Column:
 
 def interleave(tokens: Column, latents: Column, size: int) -> Column:
     """Blocks of size tokens, each followed by its latent."""
-    return F.flatten(F.transform(blocks(tokens, size), lambda b, i: F.concat(b, F.array(F.get(latents, i)))))
+    return let(latents, lambda l: F.flatten(F.transform(blocks(tokens, size), lambda b, i: F.concat(b, F.array(F.get(l, i))))))
 
 
 def overlapped_chunks(n: int, size: int, overlap: int) -> list[tuple[int, int, int]]:
@@ -143,9 +145,13 @@ def chunk_owner(n: Column, size: int, overlap: int) -> Column:
 
 def stretch(x: Column, size: Column, exact: bool = True) -> Column:
     """x brought to size by nearest index: floor((i + 0.5) * in / out) if exact, else floor(i * in / out). Null and empty arrays stay."""
-    n = F.size(x)
-    at = (lambda i: F.floor((i + 0.5) * n / size)) if exact else (lambda i: F.floor(i * n / size))
-    return F.when((n > 0) & (size > 0), F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.get(x, F.least(at(i).cast("int"), n - 1)))).otherwise(x)
+
+    def stretched(y: Column) -> Column:
+        n = F.size(y)
+        at = (lambda i: F.floor((i + 0.5) * n / size)) if exact else (lambda i: F.floor(i * n / size))
+        return F.when((n > 0) & (size > 0), F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.get(y, F.least(at(i).cast("int"), n - 1)))).otherwise(y)
+
+    return let(x, stretched)
 
 
 def pad(x: Column, width: int, value: Column) -> Column:
@@ -168,7 +174,8 @@ def script_runs(text: Column) -> Column:
 def boundaries(tags: Column) -> Column:
     """[start, end) of each section of a token array, from positions that are tags (true) to the next or the end."""
     at = F.filter(F.transform(tags, lambda t, i: F.when(t, i)), lambda i: i.isNotNull())
-    return F.transform(at, lambda s, i: F.struct(s.alias("start"), F.coalesce(F.get(at, i + 1), F.size(tags)).alias("end")))
+    following = lambda a: F.concat(F.slice(a, 2, F.greatest(F.size(a), F.lit(1))), F.array(F.size(tags)))
+    return let(at, lambda a: F.when(F.size(a) > 0, F.zip_with(a, following(a), lambda s, e: F.struct(s.alias("start"), e.alias("end")))).otherwise(F.array().cast("array<struct<start int, end int>>")))
 
 
 def positions(n: Column, start: Column) -> Column:
