@@ -117,3 +117,13 @@ def test_near_groups(spark):
         assert ra == rb
     assert got[0][0] == got[3][0] == 0 and got[4][0] == 4 and 7003 not in got and None not in got
     assert parent
+
+
+def test_a_third_of_all_rows_in_one_group(spark):
+    """A hot group of copies: one class for the fingerprints, one hash for the copies, no gathering."""
+    base = "[verse] " + " ".join(f"w{i}" for i in range(60))
+    rows = [(i, base if i % 2 else base.upper()) for i in range(1500)] + [(2000 + i, f"[verse] other song number {i} with words of its own {i * 7}") for i in range(3000)]
+    df = songs(spark, rows)
+    assert dedup.copies(df).where("copies = 1500").count() == 1500
+    got = neardup.near_groups(df).groupBy("group_id").count().orderBy(F.desc("count")).first()
+    assert got["count"] >= 1500
