@@ -31,6 +31,10 @@ GREEK = {
     "α": "阿尔法", "β": "贝塔", "γΓ": "伽玛", "δΔ": "德尔塔", "ε": "艾普西龙", "ζ": "捷塔", "η": "依塔", "θΘ": "西塔", "ι": "艾欧塔", "κ": "喀帕", "λΛ": "拉姆达",
     "μ": "缪", "ν": "拗", "ξΞ": "克西", "ο": "欧米克伦", "πΠ": "派", "ρ": "肉", "ςΣσ": "西格玛", "τ": "套", "υ": "宇普西龙", "φΦ": "服艾", "χ": "器", "ψΨ": "普赛", "ωΩ": "欧米伽",
 }
+# Forms of mobile, landline and service numbers.
+MOBILE = r"(?<!\d)(?:\+?86 ?)?1(?:[38]\d|5[0-35-9]|7[678]|9[89])\d{8}(?!\d)"
+LANDLINE = r"(?<!\d)(?:0(?:10|2[1-3]|[3-9]\d{2})-?)?[1-9]\d{6,7}(?!\d)"
+SERVICE = r"400-?\d{3}-?\d{4}"
 # Punctuation of the phoneme stage.
 PUNCTUATION = {"...": "…", "：": ",", "；": ",", "，": ",", "·": ",", "、": ",", "/": ",", "。": ".", "\n": ".", "$": ".", "！": "!", "？": "?", "—": "-", "~": "…", "～": "…"}
 KEPT = "!?…,.-"
@@ -169,7 +173,7 @@ def rules(measures: list[str] = MEASURES) -> list[tuple[re.Pattern | None, Calla
     return [
         (p(r"(?P<y>\d{4}|\d{2})年(?:(?P<m>0?[1-9]|1[0-2])月)?(?:(?P<d>0?[1-9]|[12]\d|30|31)(?P<w>[日号]))?"), _ymd),
         (p(r"(?P<y>\d{4})([- /.])(?P<m>0[1-9]|1[012])\2(?P<d>0[1-9]|[12]\d|3[01])"), _ymd),
-        # whether a range's second time is half past is judged by the first minute, as users of the original see it
+        # whether a range's second time is half past is judged by the first minute; results must keep that
         (p(rf"{_T}[~-]{_T}"), lambda m: _clock(m[1], m[2], m[3], m[2]) + "至" + _clock(m[4], m[5], m[6], m[2])),
         (p(_T), lambda m: _clock(m[1], m[2], m[3], m[2])),
         (p(rf"(?:{_N}|\.\d+)(?:{_U})~(?:{_N}|\.\d+)(?:{_U})"), lambda m: m[0].replace("~", "至")),
@@ -177,9 +181,9 @@ def rules(measures: list[str] = MEASURES) -> list[tuple[re.Pattern | None, Calla
         (None, _units),
         (p(r"(-?)(\d+)/(\d+)"), lambda m: ("负" if m[1] else "") + number(m[3]) + "分之" + number(m[2])),
         (p(r"(-?)(\d+(?:\.\d+)?)%"), lambda m: ("负" if m[1] else "") + "百分之" + number(m[2])),
-        (p(r"(?<!\d)(?:\+?86 ?)?1(?:[38]\d|5[0-35-9]|7[678]|9[89])\d{8}(?!\d)"), lambda m: "，".join(digits(g, True) for g in m[0].strip("+").split())),
-        (p(r"(?<!\d)(?:0(?:10|2[1-3]|[3-9]\d{2})-?)?[1-9]\d{6,7}(?!\d)"), lambda m: "，".join(digits(g, True) for g in m[0].split("-"))),
-        (p(r"400-?\d{3}-?\d{4}"), lambda m: "，".join(digits(g, True) for g in m[0].split("-"))),
+        (p(MOBILE), lambda m: "，".join(digits(g, True) for g in m[0].strip("+").split())),
+        (p(LANDLINE), lambda m: "，".join(digits(g, True) for g in m[0].split("-"))),
+        (p(SERVICE), lambda m: "，".join(digits(g, True) for g in m[0].split("-"))),
         (p(rf"(?<![\d+\-×÷=])({_N})[-~]({_N})(?![\d+\-×÷=])"), lambda m: _signed(m[1]) + "到" + _signed(m[2])),
         (None, _arithmetic),
         (p(r"-(\d+)"), lambda m: "负" + number(m[1])),
