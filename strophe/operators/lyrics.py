@@ -59,7 +59,7 @@ def sections(df: DataFrame, key: str, text: str) -> DataFrame:
     Null texts give no row, empty ones one with section 0 if they have text. In-row: no shuffle.
     """
     cut = F.split(F.regexp_replace(F.col(text), rf"(?i)({_TAG})", f"{_CUT}$1"), _CUT)
-    rows = df.select(F.col(key), F.posexplode(cut).alias("section", "_p"))
+    rows = df.select(F.col(key), F.posexplode_outer(cut).alias("section", "_p"))
     tag = F.lower(F.regexp_extract("_p", rf"(?i)^({_TAG})", 1))
     body = F.regexp_replace(F.regexp_replace("_p", rf"(?i)^{_TAG}", ""), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
     return rows.select(key, "section", F.when(tag != "", tag).alias("tag"), body.alias("text")).where("section > 0 or text <> ''")

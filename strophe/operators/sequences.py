@@ -62,7 +62,8 @@ def annotate_tokens(df: DataFrame, vocab: DataFrame, key: str, text: str, max_se
     shuffle on the key.
     """
     ids = vocab.where("token is not null and token <> ''").groupBy("token").agg(F.min("id").alias("token_id"))
-    tokens = df.select(F.col(key), F.posexplode(F.split(F.trim(F.col(text)), " +")).alias("_at", "token"))
+    # outer, as Spark would compute the text a second time to filter empty arrays; the join drops nulls
+    tokens = df.select(F.col(key), F.posexplode_outer(F.split(F.trim(F.col(text)), " +")).alias("_at", "token"))
     known = tokens.join(ids, "token")
     tag = F.regexp_extract("token", r"^\[(\w+)\]$", 1)
     number = F.lit(None).cast("int")

@@ -132,8 +132,8 @@ def lyric_sections(t: Tables) -> DataFrame:
 @query(r"""SELECT doc_id, CAST(k - 1 AS INTEGER) AS seq, CASE WHEN regexp_matches(run, '^[一-龥]') THEN 'zh' WHEN regexp_matches(run, '^[,.!?…\-]$') THEN 'sp' ELSE 'en' END AS script, run
     FROM (SELECT doc_id, unnest(rs) AS run, generate_subscripts(rs, 1) AS k FROM (SELECT doc_id, regexp_extract_all(replace(text, chr(10), '.'), '[一-龥]+|[,.!?…\-]|[^一-龥,.!?…\-]+') AS rs FROM documents WHERE text IS NOT NULL))""")
 def script_segments(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", F.posexplode(sequences.script_runs(F.col("text"))).alias("seq", "r"))
-    return rows.select("doc_id", "seq", "r.script", "r.run")
+    rows = t.documents.select("doc_id", F.posexplode_outer(sequences.script_runs(F.col("text"))).alias("seq", "r"))
+    return rows.where("r is not null").select("doc_id", "seq", "r.script", "r.run")
 
 
 @query(rf"SELECT o_orderkey, {chinese.cardinal_sql('CAST(o_orderkey AS VARCHAR)')} AS words FROM orders")
