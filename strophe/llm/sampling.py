@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strophe.operators.arrays import let
+
 #: Bits of half an identifier; the domain has 2 ** (2 * HALF) identifiers.
 HALF = 30
 # Multipliers (odd, under 2**31) and addends of the rounds.
@@ -20,14 +22,25 @@ def identifier(idx: Column, row: Column) -> Column:
     return F.conv(F.substring(F.md5(own), 1, 15), 16, 10).cast("bigint")
 
 
+def _bound(turn, k: int, c: int):
+    return lambda state: turn(state, k, c)
+
+
 def permuted(n: Column) -> Column:
     """The identifier's image under a fixed permutation of the domain: one-to-one, without state."""
-    left, right = F.shiftright(n, HALF), n.bitwiseAND(F.lit(_MASK))
+
+    def halves(left: Column, right: Column) -> Column:
+        return F.struct(left.alias("left"), right.alias("right"))
+
+    def turn(state: Column, k: int, c: int) -> Column:
+        y = state["right"] * F.lit(k).cast("bigint") + F.lit(c).cast("bigint")
+        return halves(state["right"], state["left"].bitwiseXOR(y.bitwiseXOR(F.shiftright(y, 17)).bitwiseAND(F.lit(_MASK))))
+
+    # each round names the one before three times; bound, it is computed once
+    state = let(n, lambda x: halves(F.shiftright(x, HALF), x.bitwiseAND(F.lit(_MASK))))
     for k, c in ROUNDS:
-        y = right * F.lit(k).cast("bigint") + F.lit(c).cast("bigint")
-        mixed = y.bitwiseXOR(F.shiftright(y, 17)).bitwiseAND(F.lit(_MASK))
-        left, right = right, left.bitwiseXOR(mixed)
-    return F.shiftleft(left, HALF).bitwiseOR(right)
+        state = let(state, _bound(turn, k, c))
+    return let(state, lambda s: F.shiftleft(s["left"], HALF).bitwiseOR(s["right"]))
 
 
 def sample(df: DataFrame, rate: float, idx: str = "idx", row: str = "row_id") -> DataFrame:
