@@ -135,7 +135,7 @@ def repair(df: DataFrame, key: str = "row_id", text: str = "lyrics") -> DataFram
     ).distinct()
     pairs = stage(pairs, "proposals")
     wanted = pairs.select("result").distinct()
-    words = src.select(F.explode(F.split(F.lower("t"), r"[\x00-@\[-`{-\u00BF\u2000-\u206F\u3000-\u303F\uFF00-\uFF20]+")).alias("result"))
+    words = src.select(F.explode_outer(F.split(F.lower("t"), r"[\x00-@\[-`{-\u00BF\u2000-\u206F\u3000-\u303F\uFF00-\uFF20]+")).alias("result"))
     if wanted.count() <= BROADCAST_WORDS:
         words = words.join(F.broadcast(wanted), "result", "left_semi").distinct()
     else:
