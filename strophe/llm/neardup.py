@@ -1,10 +1,12 @@
-"""Near-duplicate texts by pigeonhole blocks over fingerprints of word windows.
-
-A fingerprint has BLOCKS symbols, each the minimum of one hash function over the
-text's word windows. Two fingerprints that differ in fewer than BLOCKS symbols
-share one of the BLOCKS one-symbol blocks, so joining on blocks finds every pair
-within that Hamming distance; counting the shared blocks of a pair verifies the
-distance itself. An exact comparison of the shingle sets follows.
+"""Near-duplicate texts by blocks of minima over the runs of words that define the similarity.
+
+A fingerprint has BLOCKS symbols, each made of the minima of MINIMA hash functions
+of its own over the text's runs of three words. Two texts of similarity s share one
+symbol with probability s ** MINIMA, so joining on symbols misses a pair with
+probability (1 - s ** MINIMA) ** BLOCKS. Several minima a symbol split the blocks of
+stock phrases, which are in too many texts to compare all of them. Every pair that
+shares a symbol is a candidate; most of those that share only stock phrases are told
+by one bit of each minimum, and an exact comparison of the shingle sets follows.
 """
 
 import re
@@ -20,20 +22,20 @@ from strophe.functions.characters import FOLDED_TAG, has_words
 from strophe.llm.lookalike import skeleton
 from strophe.session import stage
 
-BLOCKS = 40
-#: Fingerprints at most this far apart are compared exactly. At a shingle similarity of 0.5, edits spread evenly leave a window similarity of about 0.2, so 1 pair in 150 is farther apart; at 0.6, 1 in 10,000.
-DISTANCE = BLOCKS - 3
-#: Words, or Han characters, of a window; longer than the shingles so that stock phrases don't fill the blocks.
-WINDOW, HAN_WINDOW = 8, 10
+#: At a similarity of 0.5 a pair is missed with probability 0.875 ** 140, which is less than 1 in 10^8; at 0.6, 3 in 10^15.
+BLOCKS, MINIMA = 140, 3
+#: Longs of one bit of each of the first minima, and how many of the bits at least agree: at a similarity of 0.5, fewer do with probability 1 in 10^9.
+BITS, AGREE = 6, 235
 #: Up to so many candidate texts their ids (16 bytes each) are broadcast to pick the texts; beyond, they are joined.
 BROADCAST_IDS = 2_000_000
 
 _WORD = re.compile(r"[㐀-鿿豈-﫿]|[^\W_㐀-鿿豈-﫿]+")
 _SIGNS = re.compile(r"[\W_]+")
 _APOSTROPHES = re.compile("['’‘ʼ`´]")
-_ODD = np.random.default_rng(20240607).integers(1, 2**63, BLOCKS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(20240607).integers(0, 2**31, (BLOCKS, MINIMA), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_BITS = [f"b{i}" for i in range(BITS)]
 
 
 class _Hashes(dict):
@@ -98,22 +100,28 @@ def _fingerprints(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, whole.num_rows, 2000):
             ids, ws, signs = _read(b := whole.slice(at, 2000))
             h, lengths = _flat(ws)
-            han = np.fromiter((2 * sum(map(len, w)) < 3 * len(w) for w in ws), bool, len(ws))  # words of one character, on the whole
-            k = np.minimum(np.where(han, HAN_WINDOW, WINDOW), np.maximum(lengths, 1))
-            x, offsets = _windows(h, lengths, k)
+            x, offsets = _windows(h, lengths, np.minimum(3, np.maximum(lengths, 1)))
+            x = (x >> np.uint64(32)).astype(np.uint32)
             some = np.nonzero(lengths >= 3)[0]
             starts = offsets[some]
-            out = np.empty((len(some), BLOCKS), np.uint64)
+            bits = np.zeros((BITS, len(some)), np.uint64)
+            symbols = np.zeros((len(some), BLOCKS), np.int32)
             for j in range(BLOCKS if len(some) else 0):
-                y = x * _ODD[j]
-                y ^= y >> np.uint64(31)
-                out[:, j] = np.minimum.reduceat(y, starts)
-            symbols = ((out * _MIX) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                both = np.zeros(len(some), np.uint64)
+                for i, odd in enumerate(_ODD[j], MINIMA * j):
+                    y = x * odd
+                    y ^= y >> np.uint32(15)
+                    least = np.minimum.reduceat(y, starts).astype(np.uint64)
+                    if i < 64 * BITS:
+                        bits[i // 64] |= (least & np.uint64(1)) << np.uint64(i % 64)
+                    both = (both ^ least) * _MIX
+                    both ^= both >> np.uint64(29)
+                symbols[:, j] = (both >> np.uint64(32)).astype(np.uint32).view(np.int32)
             digest = [xxhash.xxh3_128_digest(s) for s in signs]
             pair = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)[some] if digest else np.empty((0, 2), np.int64)
             order = np.fromiter((xxhash.xxh64_intdigest(" ".join(ws[i])) for i in some), np.uint64, len(some)).view(np.int64)
             sig = pa.FixedSizeListArray.from_arrays(pa.array(symbols.ravel()), BLOCKS).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(order), sig], ["k", "g1", "g2", "w", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(order), sig, *map(pa.array, bits.view(np.int64))], ["k", "g1", "g2", "w", "sig", *_BITS])
 
 
 def _shingles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +139,8 @@ def _shingles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def classes(df: DataFrame, key: str, text: str) -> DataFrame:
     """(k, rep, g1, g2): each text of three words or more, the smallest key with the same words and the same p2 letters, and the hash of those letters; staged with rep's fingerprints."""
     src = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & has_words(F.col("t")))
-    return stage(src.mapInArrow(_fingerprints, "k bigint, g1 bigint, g2 bigint, w bigint, sig array<int>"), "fingerprints")
+    found = src.mapInArrow(_fingerprints, "k bigint, g1 bigint, g2 bigint, w bigint, sig array<int>, " + ", ".join(f"{x} bigint" for x in _BITS))
+    return stage(found.withColumn("u", F.monotonically_increasing_id()), "fingerprints")
 
 
 def near_pairs(df: DataFrame, key: str = "row_id", text: str = "lyrics", similarity: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -140,23 +149,28 @@ def near_pairs(df: DataFrame, key: str = "row_id", text: str = "lyrics", similar
     A class is all texts with the same words in the same order and the same
     letters (tags included); its representative has the smallest key. Every two
     classes whose shingle sets (runs of three words) have at least the given
-    Jaccard similarity are a pair, if their fingerprints are within DISTANCE.
+    Jaccard similarity are a pair, if their fingerprints share a symbol and AGREE
+    bits (at 0.5 all but 1 in 10^8 do).
     Null keys, null or wordless texts and texts under three words are in no class;
     repeated rows and copies fall into one class, so no group is expanded.
 
-    Shuffles: fingerprints once by class, one 16-byte row per block, candidate
-    pairs, and the shingle sets of candidates only. AQE splits skewed blocks.
+    Shuffles: keys of classes, one 16-byte row per block, candidate pairs, and the
+    shingle sets of candidates only. AQE splits skewed blocks.
     """
     rows = classes(df, key, text)
-    reps = stage(
-        rows.groupBy("g1", "g2", "w").agg(F.min_by("sig", "k").alias("sig"), F.min("k").alias("rep")).select("rep", "g1", "g2", "w", "sig"), "representatives"
-    )
+    reps = stage(rows.groupBy("g1", "g2", "w").agg(F.min("k").alias("rep"), F.min_by("u", "k").alias("u")), "representatives")
     members = rows.select("k", "g1", "g2", "w").join(reps.select("rep", "g1", "g2", "w"), ["g1", "g2", "w"]).select("k", "rep", "g1", "g2")
-    blocks = reps.select("rep", F.posexplode("sig").alias("i", "v")).select("rep", (F.shiftleft(F.col("i").cast("bigint"), 32) + F.col("v").cast("bigint")).alias("block"))
+    first = reps.select("u")
+    small = first.count() <= BROADCAST_IDS
+    firsts = rows.join(F.broadcast(first) if small else first, "u", "left_semi").withColumnRenamed("k", "rep")
+    blocks = firsts.select("rep", F.posexplode("sig").alias("i", "v")).select("rep", (F.shiftleft(F.col("i").cast("bigint"), 32) + F.col("v").cast("bigint")).alias("block"))
     a, b = blocks.withColumnRenamed("rep", "a"), blocks.withColumnRenamed("rep", "b")
-    cand = stage(
-        a.join(b, "block").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= BLOCKS - DISTANCE).select("a", "b"), "candidates"
-    )
+    met = a.join(b, "block").where("a < b").select("a", "b")
+    if not small:
+        met = met.distinct()
+    bits = lambda x: (lambda d: F.broadcast(d) if small else d)(firsts.select(F.col("rep").alias(x), *(F.col(c).alias(x + c) for c in _BITS)))
+    differ = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _BITS[1:]), F.bit_count(F.col(f"a{_BITS[0]}").bitwiseXOR(F.col(f"b{_BITS[0]}"))))
+    cand = stage(met.join(bits("a"), "a").join(bits("b"), "b").where(differ <= 64 * BITS - AGREE).select("a", "b").distinct(), "candidates")
     ids = stage(cand.select(F.col("a").alias("k")).union(cand.select("b")).distinct(), "candidate-ids")
     pick = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     src = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(has_words(F.col("t"))).join(pick, "k", "left_semi")

@@ -108,6 +108,31 @@ def test_near_duplicates_against_all_pairs(spark):
     assert neardup.near_duplicates(songs(spark, [])).collect() == []
 
 
+def edited_songs():
+    """Pairs (2i, 2i + 1): lines reordered, one word or Han character in ten changed, short texts with one change in the middle."""
+    import random
+
+    r = random.Random(9)
+    out = []
+    for i in range(20):
+        v = [f"v{i}x{k}" for k in range(400)]
+        lines = [" ".join(v[7 * k : 7 * k + 7]) for k in range(20)]
+        out.append((". ".join(lines), ". ".join(lines[1::2][::-1] + lines[::2])))
+        out.append((" ".join(v[:150]), " ".join(f"new{k}" if k % 10 == 5 else x for k, x in enumerate(v[:150]))))
+        han = "".join(chr(c) for c in r.sample(range(0x4E00, 0x9000), 200))
+        out.append((han, "".join("一" if k % 10 == 5 else x for k, x in enumerate(han))))
+        out.append((" ".join(v[200:215]), " ".join(v[200:207] + ["other"] + v[208:215])))
+        out.append((han[:19], han[:9] + "丁" + han[10:19]))
+    return [(2 * i + k, t) for i, pair in enumerate(out) for k, t in enumerate(pair)]
+
+
+def test_near_duplicates_without_common_windows(spark):
+    rows = edited_songs()
+    want = brute(rows)
+    assert {(a, a + 1) for a in range(0, 200, 2)} <= want
+    assert {tuple(r) for r in neardup.near_duplicates(songs(spark, rows)).collect()} == want
+
+
 def test_near_groups(spark):
     rows = corpus()
     got = {r.row_id: (r.group_id, r.links) for r in neardup.near_groups(songs(spark, rows)).collect()}
