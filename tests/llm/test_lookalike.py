@@ -133,6 +133,13 @@ def test_near_duplicates_without_common_windows(spark):
     assert {tuple(r) for r in neardup.near_duplicates(songs(spark, rows)).collect()} == want
 
 
+def test_near_duplicates_of_other_word_lengths(spark):
+    """Short texts of 7 and 8 words, and texts of two scripts on both sides of the old bound of 1.5 letters a word."""
+    english, han = " ".join(f"word{k}" for k in range(20)), "".join(map(chr, range(0x4E00, 0x4EF0)))
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g h"), (3, f"{han} {english}"), (4, f"{han} {english} " + " ".join(f"more{k}" for k in range(30)))]
+    assert {tuple(r) for r in neardup.near_duplicates(songs(spark, rows)).collect()} == brute(rows) == {(1, 2), (3, 4)}
+
+
 def test_near_groups(spark):
     rows = corpus()
     got = {r.row_id: (r.group_id, r.links) for r in neardup.near_groups(songs(spark, rows)).collect()}
