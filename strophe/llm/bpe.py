@@ -104,8 +104,6 @@ class Vocabulary:
 
     def learn(self, pieces: set[str]) -> None:
         """Ids of the pieces into self.seen."""
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
         by: dict[int, list[tuple[str, bytes]]] = {}
         for x in pieces:
             b = x.encode()
@@ -123,7 +121,7 @@ class Vocabulary:
         """Ids of each text; null and empty texts have none."""
         cut = [_PIECES.findall(t) if t else [] for t in texts]
         new = set().union(*cut)
-        if len(self.seen) + len(new) > 2 * REMEMBERED:
+        if len(self.seen) > REMEMBERED:  # only here, before the unseen pieces are picked: learn() must keep what this batch needs
             self.seen.clear()
         self.learn({x for x in new if x not in self.seen})
         seen = self.seen

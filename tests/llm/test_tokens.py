@@ -45,6 +45,16 @@ def test_any_text(vocab, public, x):
     assert b"".join(back[i] for i in vocab.encode([x])[0]).decode() == x
 
 
+@need
+def test_forgotten_pieces(vocab, public, monkeypatch):
+    """A batch that comes when more pieces are remembered than the cap, and shares some of them."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    vocab.seen.clear()
+    for i in range(30):
+        text = f"on the hill {chr(97 + i % 26) * (3 + i // 26)}"
+        assert vocab.encode([text]) == [public.encode_ordinary(text)]
+
+
 @need
 def test_tables(spark):
     df = spark.createDataFrame([(1, "a b", "q"), (2, None, "q"), (3, "", "q"), (None, "a b", "q"), (1, "a b", "q")], "doc_id bigint, text string, ids string")
