@@ -76,9 +76,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels")
-    english = documents.where("lang = 'en'")
-    models = reading.fit(english.select("doc_id", "text").join(labels.select("doc_id", "grade"), "doc_id"))
-    return reading.levels(english, models)
+    return reading.every_level(documents, labels)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

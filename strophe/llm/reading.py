@@ -56,8 +56,12 @@ class Models:
 
     def grade(self, text: str) -> tuple[int, float]:
         """The grade with the highest posterior (of equal ones the lowest), and that posterior; words that no labelled text has don't count."""
+        return self.judge(Counter(words(text)))
+
+    def judge(self, counts: Counter) -> tuple[int, float]:
+        """grade() of a text with so many of each word."""
         s = list(self.prior)
-        for w, n in Counter(words(text)).items():
+        for w, n in counts.items():
             if p := self.like.get(w):
                 s = [a + n * b for a, b in zip(s, p)]
         top = max(s)
@@ -85,6 +89,17 @@ def _grade(it: Iterator[pa.RecordBatch], models: Broadcast) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g for g, _ in got], pa.int32()), pa.array([p for _, p in got], pa.float64())], ["k", "grade", "posterior"])
 
 
+def _every(it: Iterator[pa.RecordBatch], models: Broadcast) -> Iterator[pa.RecordBatch]:
+    m = models.value
+    for b in it:
+        counts = [Counter(words(t or "")) for t in b.column(1).to_pylist()]
+        known = [sum(n for w, n in c.items() if w in m.like) for c in counts]
+        got = [m.judge(c) if n else (None, None) for c, n in zip(counts, known)]
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array([g for g, _ in got], pa.int32()), pa.array([p for _, p in got], pa.float64()), pa.array(known, pa.int64())], ["doc_id", "grade", "posterior", "known"]
+        )
+
+
 def levels(df: DataFrame, models: Models, key: str = "doc_id", text: str = "text", least: int = LEAST_CHARS) -> DataFrame:
     """(key, grade, posterior) of every text of at least so many characters.
 
@@ -99,6 +114,18 @@ def levels(df: DataFrame, models: Models, key: str = "doc_id", text: str = "text
     return src.mapInArrow(partial(_grade, models=shared), f"k {kind}, grade int, posterior double").withColumnRenamed("k", key)
 
 
+def every_level(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, grade, posterior, known) of every document, whatever its language and length; the models are fitted on the English ones.
+
+    known is the number of words in the text that the models have. Grade and
+    posterior are null where it is 0, as for null, empty and wordless texts; where
+    it is small against the text, as in most other languages, the grade says little.
+    """
+    models = fit(documents.where("lang = 'en'").select("doc_id", "text").join(labels.select("doc_id", "grade"), "doc_id"))
+    shared = documents.sparkSession.sparkContext.broadcast(models)
+    return documents.select("doc_id", "text").mapInArrow(partial(_every, models=shared), "doc_id bigint, grade int, posterior double, known bigint")
+
+
 def ungraded(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, grade) of the English documents without a label."""
     english = documents.where("lang = 'en'").select("doc_id", "text")

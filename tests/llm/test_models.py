@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from strophe.llm import abuse, langid, reading
+from strophe.llm import abuse, langid, queries, reading
 
 DATA = "/root/testdata/sf0.01"
 need = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -116,3 +116,11 @@ def test_reading_edges(spark):
     got = {r.doc_id: r.grade for r in reading.levels(docs, m).collect()}
     assert got[1] == 1 and got[2] == 5 and got[None] == 1 and got[7] == 1 and set(got) == {1, 2, None, 6, 7}
     assert reading.levels(docs.limit(0), reading.fit(df.limit(0))).collect() == []
+
+
+def test_every_document_has_a_level(tmp_path, spark):
+    docs = spark.createDataFrame([(1, "easy cat sat", "en"), (2, "hard epistemology endures", "en"), (3, "cat", "en"), (4, "el cat duerme", "es"), (5, "epistemology", None), (6, "猫", "zh"), (7, None, "en"), (8, "", "en"), (9, "cat " * 100, "en")], "doc_id bigint, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (2, 5)], "doc_id bigint, grade int").write.parquet(f"{tmp_path}/level_labels.parquet")
+    got = {r.doc_id: (r.grade, r.known) for r in queries.p10_levels(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 3), 2: (5, 3), 3: (1, 1), 4: (1, 1), 5: (5, 1), 6: (None, 0), 7: (None, 0), 8: (None, 0), 9: (1, 100)}
