@@ -118,7 +118,7 @@ def repair(df: DataFrame, key: str = "row_id", text: str = "lyrics") -> DataFram
     """(key, text, form): every non-null text with its one consistent form.
 
     A token with look-alike letters is replaced only if its proposal is in the
-    corpus vocabulary: a token of some text as it stands, or the proposal of two
+    corpus vocabulary: a token of some text once folded, or the proposal of two
     or more different spellings. Proposals follow the script of the token's
     unmistakable letters, so real Cyrillic or Greek words stay. Null keys are
     kept; null texts give no row, empty ones an empty form; other columns of df,
@@ -135,7 +135,8 @@ def repair(df: DataFrame, key: str = "row_id", text: str = "lyrics") -> DataFram
     ).distinct()
     pairs = stage(pairs, "proposals")
     wanted = pairs.select("result").distinct()
-    words = src.select(F.explode_outer(F.split(F.lower("t"), r"[\x00-@\[-`{-\u00BF\u2000-\u206F\u3000-\u303F\uFF00-\uFF20]+")).alias("result"))
+    folded = src.where(~dirty(F.col("t"))).select("t").union(bad.select(F.regexp_replace("m", proposal, "$1")))
+    words = folded.select(F.explode_outer(F.split(F.lower("t"), r"[\x00-@\[-`{-\u00BF\u2000-\u206F\u3000-\u303F\uFF00-\uFF20]+")).alias("result"))
     if wanted.count() <= BROADCAST_WORDS:
         words = words.join(F.broadcast(wanted), "result", "left_semi").distinct()
     else:

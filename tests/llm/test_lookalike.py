@@ -43,6 +43,18 @@ def test_same_looking(spark):
     assert lookalike.same_looking(songs(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("word", ["ｎｏｔｈｈｉｎｇ", "no\u200bthhing", "no\u00adthhing"])
+def test_vocabulary_of_folded_texts(spark, word):
+    """The only copy of a rare word without foreign letters is written full-width or with a character that takes no room."""
+    rows = [(1, "the n\u043ethhing cat"), (2, f"the {word} cat")]
+    assert [tuple(r) for r in lookalike.same_looking(songs(spark, rows)).collect()] == [(1, 2)]
+
+
+def test_no_words_of_split_parts(spark):
+    rows = [(1, "so n\u043e"), (2, "the no\u200bthing")]
+    assert {r.row_id: r.form for r in lookalike.repair(songs(spark, rows)).collect()} == {1: "so n\u043e", 2: "the nothing"}
+
+
 def test_same_looking_twice_the_same_row(spark):
     rows = [(1, "a cat"), (1, "a cat"), (2, "a саt")]
     assert [tuple(r) for r in lookalike.same_looking(songs(spark, rows)).collect()] == [(1, 2)]
