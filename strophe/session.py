@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from functools import partial
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +31,9 @@ def session(app: str = "strophe", master: str | None = None, **conf: str) -> Spa
         b = b.master(master)
     for k, v in (DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def ship(spark: SparkSession) -> None:
@@ -72,15 +75,34 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: With this setting the shuffle files of a query are removed when it ends, not when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     Cuts the lineage and keeps a result that several branches use from being
-    computed again; it survives the loss of executors. Removed when the
-    driver ends.
+    computed again; it survives the loss of executors. The shuffle files it took
+    go once it is written. Removed by `unstage`, else when the driver ends.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark).rstrip('/')}/strophe-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._strophe = path, atexit.register(partial(_remove, spark, path))
+    return out
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Remove tables that `stage` wrote and nothing will read again."""
+    for df in staged:
+        path, at_exit = df._strophe
+        _remove(df.sparkSession, path)
+        atexit.unregister(at_exit)
