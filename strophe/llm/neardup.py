@@ -4,38 +4,51 @@ A fingerprint has BLOCKS symbols, each made of the minima of MINIMA hash functio
 of its own over the text's runs of three words. Two texts of similarity s share one
 symbol with probability s ** MINIMA, so joining on symbols misses a pair with
 probability (1 - s ** MINIMA) ** BLOCKS. Several minima a symbol split the blocks of
-stock phrases, which are in too many texts to compare all of them. Every pair that
-shares a symbol is a candidate; most of those that share only stock phrases are told
-by one bit of each minimum, and an exact comparison of the shingle sets follows.
+stock phrases, which are in too many texts to compare all of them; a block that holds
+more than HOT texts all the same is split by DEEPER further symbols, up to LEVELS
+times, before all of its pairs are compared. Every pair that shares a block is a
+candidate; most of those that share only stock phrases are told by one bit of each
+minimum, and an exact comparison of the shingle sets follows.
 """
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strophe.functions.characters import FOLDED_TAG, has_words
+from strophe.functions.characters import FOLDED_TAG, TAGS, has_words
 from strophe.llm.lookalike import skeleton
-from strophe.session import stage
+from strophe.session import stage, unstage
 
 #: At a similarity of 0.5 a pair is missed with probability 0.875 ** 140, which is less than 1 in 10^8; at 0.6, 3 in 10^15.
 BLOCKS, MINIMA = 140, 3
 #: Longs of one bit of each of the first minima, and how many of the bits at least agree: at a similarity of 0.5, fewer do with probability 1 in 10^9.
 BITS, AGREE = 6, 235
-#: Up to so many candidate texts their ids (16 bytes each) are broadcast to pick the texts; beyond, they are joined.
-BROADCAST_IDS = 2_000_000
-
-_WORD = re.compile(r"[㐀-鿿豈-﫿]|[^\W_㐀-鿿豈-﫿]+")
-_SIGNS = re.compile(r"[\W_]+")
-_APOSTROPHES = re.compile("['’‘ʼ`´]")
+#: Blocks are joined in up to so many turns, one more for each so many classes; each turn frees its shuffle files.
+TURNS, TURN_CLASSES = 4, 30_000
+#: Most texts of a block that are compared with each other at once. A larger block is split by this many of the following symbols, up to so many times;
+#: a pair at 0.5 that shares the block is then missed with probability 0.875 ** 32, so over all blocks with 1 in 10^8 as before.
+HOT, DEEPER, LEVELS = 1_000, 32, 3
+#: Tasks that share the pairs of a block that is hot after the last level.
+SALTS = 16
+#: Up to so many ids, or classes with their bits (100 bytes each), are broadcast; beyond, they are joined.
+BROADCAST_IDS = 500_000
+
+_HAN = "㐀-鿿豈-﫿"
+_WORD = re.compile(rf"\[(?:{'|'.join(TAGS)})\]|[{_HAN}]|[^\W_{_HAN}]+")
+_WIDE = re.compile("[^\x00-\xff‘’“”…–—•]")
+_APOSTROPHES = ("'", "’", "‘", "ʼ", "`", "´")
 _ODD = np.random.default_rng(20240607).integers(0, 2**31, (BLOCKS, MINIMA), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _BITS = [f"b{i}" for i in range(BITS)]
+#: Latin-1 bytes that are no part of a word become blanks.
+_BLANKED = bytes(c if chr(c).isalnum() else 32 for c in range(256))
 
 
 class _Hashes(dict):
@@ -51,10 +64,20 @@ class _Hashes(dict):
 _HASH = _Hashes()
 
 
+def _latin(text: str) -> str:
+    """A text of Latin-1 letters with everything but letters and digits blanked."""
+    return text.encode("latin-1", "replace").replace(b"?", b" ").translate(_BLANKED).decode("latin-1")
+
+
 def words(text: str) -> tuple[list[str], str]:
     """The words of a text as the similarity has them, and its letters and digits, tags included."""
     t = skeleton(text).lower().replace("ß", "ss")
-    return _WORD.findall(_APOSTROPHES.sub("", FOLDED_TAG.sub(" ", t))), _SIGNS.sub("", t)
+    for a in _APOSTROPHES:
+        t = t.replace(a, "")
+    if _WIDE.search(t):
+        found = _WORD.findall(t)
+        return [x for x in found if x[0] != "["], "".join(found).replace("[", "").replace("]", "")
+    return _latin(FOLDED_TAG.sub(" ", t)).split(), _latin(t).replace(" ", "")
 
 
 def _powers(n: int) -> np.ndarray:
@@ -91,8 +114,7 @@ def _read(b: pa.RecordBatch) -> tuple[list, list[list[str]], list[str]]:
 
 def _flat(ws: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, ws), np.int64, len(ws))
-    get = _HASH.__getitem__
-    return np.fromiter((get(x) for w in ws for x in w), np.uint64, int(lengths.sum())), lengths
+    return np.fromiter(map(_HASH.__getitem__, chain.from_iterable(ws)), np.uint64, int(lengths.sum())), lengths
 
 
 def _fingerprints(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,11 +128,13 @@ def _fingerprints(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts = offsets[some]
             bits = np.zeros((BITS, len(some)), np.uint64)
             symbols = np.zeros((len(some), BLOCKS), np.int32)
+            y, shifted = np.empty_like(x), np.empty_like(x)
             for j in range(BLOCKS if len(some) else 0):
                 both = np.zeros(len(some), np.uint64)
                 for i, odd in enumerate(_ODD[j], MINIMA * j):
-                    y = x * odd
-                    y ^= y >> np.uint32(15)
+                    np.multiply(x, odd, out=y)
+                    np.right_shift(y, np.uint32(15), out=shifted)
+                    np.bitwise_xor(y, shifted, out=y)
                     least = np.minimum.reduceat(y, starts).astype(np.uint64)
                     if i < 64 * BITS:
                         bits[i // 64] |= (least & np.uint64(1)) << np.uint64(i % 64)
@@ -130,21 +154,78 @@ def _shingles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, ws, _ = _read(b := whole.slice(at, 2000))
             h, lengths = _flat(ws)
             x, offsets = _windows(h, lengths, np.full(len(ws), 3))
-            parts = [np.unique((x[a:z] >> np.uint64(32)).astype(np.uint32).view(np.int32)) for a, z in zip(offsets[:-1], offsets[1:])]
-            at_ = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
-            values = pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32))
+            # text and shingle in one number: sorted once for all texts
+            both = np.sort(np.repeat(np.arange(len(ws), dtype=np.uint64), np.diff(offsets)) << np.uint64(32) | x >> np.uint64(32))
+            both = both[np.r_[True, both[1:] != both[:-1]][: len(both)]]
+            at_ = np.searchsorted(both, np.arange(len(ws) + 1, dtype=np.uint64) << np.uint64(32)).astype(np.int32)
+            values = pa.array((both & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at_), values)], ["k", "s"])
 
 
 def classes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(k, rep, g1, g2): each text of three words or more, the smallest key with the same words and the same p2 letters, and the hash of those letters; staged with rep's fingerprints."""
+    """(k, g1, g2, w, sig, bits, u): each text of three words or more with the hashes of its letters and of its words, its fingerprint and a number; staged."""
     src = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & has_words(F.col("t")))
     found = src.mapInArrow(_fingerprints, "k bigint, g1 bigint, g2 bigint, w bigint, sig array<int>, " + ", ".join(f"{x} bigint" for x in _BITS))
     return stage(found.withColumn("u", F.monotonically_increasing_id()), "fingerprints")
 
 
+def _met(rows: DataFrame) -> DataFrame:
+    """(block, a, b) of rows (block, rep): every pair of a block of at most HOT texts, with a null block; of a larger one its texts alone, with a null b.
+
+    One shuffle and one sort, on the block; the lists are as short as HOT.
+    """
+    size = F.count(F.lit(1)).over(Window.partitionBy("block"))
+    shared = rows.withColumn("n", size).where("n > 1")
+    lists = shared.groupBy("block", F.when(F.col("n") > HOT, F.col("rep")).alias("hot")).agg(F.array_sort(F.collect_list("rep")).alias("reps"))
+    firsts = lists.select(F.when(F.col("hot").isNotNull(), F.col("block")).alias("block"), "reps", F.posexplode("reps").alias("i", "a"))
+    others = F.when(F.col("block").isNull(), F.slice("reps", F.col("i") + 2, F.size("reps"))).otherwise(F.array(F.lit(None).cast("bigint")))
+    return firsts.select("block", "a", F.explode(others).alias("b")).where("b is null or a <> b")
+
+
+class _Candidates:
+    """Pairs of classes that share a block and AGREE bits, gathered turn by turn."""
+
+    def __init__(self, firsts: DataFrame, small: bool):
+        self.firsts, self.small = firsts, small
+        self.found: list[DataFrame] = []
+
+    def _alike(self, met: DataFrame) -> DataFrame:
+        """Of met (block, a, b) the pairs whose fingerprints agree in enough bits, and all rows with a null b."""
+        wide = lambda d: F.broadcast(d) if self.small else d
+        bits = lambda x: wide(self.firsts.select(F.col("rep").alias(x), *(F.col(c).alias(x + c) for c in _BITS)))
+        differ = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _BITS[1:]), F.bit_count(F.col(f"a{_BITS[0]}").bitwiseXOR(F.col(f"b{_BITS[0]}"))))
+        met = met if self.small else met.distinct()
+        return met.join(bits("a"), "a").join(bits("b"), "b", "left").where((differ <= 64 * BITS - AGREE) | F.col("b").isNull()).select("block", "a", "b").distinct()
+
+    def add(self, rows: DataFrame, level: int = 1) -> None:
+        """Pairs of the blocks of rows (block, rep)."""
+        met = stage(self._alike(_met(rows)), "candidates")
+        self.found.append(met)
+        hot = met.where("b is null").select("block", F.col("a").alias("rep"))
+        if hot.isEmpty():
+            return
+        if level < LEVELS:
+            at = lambda i: F.pmod(F.lit(level * DEEPER) + F.pmod(F.col("block"), F.lit(BLOCKS)) + i, F.lit(BLOCKS)).cast("int")
+            deeper = hot.join(self.firsts.select("rep", "sig"), "rep").select("rep", "block", F.explode(F.transform(F.sequence(F.lit(0), F.lit(DEEPER - 1)), lambda i: F.struct(at(i).alias("i"), F.get("sig", at(i)).alias("v")))).alias("x"))
+            self.add(deeper.select(F.xxhash64("block", "x.i", "x.v").alias("block"), "rep"), level + 1)
+        else:
+            salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS))
+            a = hot.select("block", F.col("rep").alias("a"), salt.alias("salt"))
+            b = hot.select("block", F.col("rep").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+            pairs = a.join(b, ["block", "salt"]).where("a < b").select(F.lit(None).cast("bigint").alias("block"), "a", "b")
+            self.found.append(stage(self._alike(pairs), "candidates"))
+
+    def all(self) -> DataFrame:
+        out = self.found[0]
+        for x in self.found[1:]:
+            out = out.union(x)
+        out = stage(out.where("b is not null").select("a", "b").distinct(), "candidates")
+        unstage(*self.found)
+        return out
+
+
 def near_pairs(df: DataFrame, key: str = "row_id", text: str = "lyrics", similarity: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(a, b, similarity) between class representatives, and membership (k, rep, g1, g2).
+    """(a, b, similarity) between class representatives, and membership (k, rep, g1, g2); both staged.
 
     A class is all texts with the same words in the same order and the same
     letters (tags included); its representative has the smallest key. Every two
@@ -152,33 +233,40 @@ def near_pairs(df: DataFrame, key: str = "row_id", text: str = "lyrics", similar
     Jaccard similarity are a pair, if their fingerprints share a symbol and AGREE
     bits (at 0.5 all but 1 in 10^8 do).
     Null keys, null or wordless texts and texts under three words are in no class;
-    repeated rows and copies fall into one class, so no group is expanded.
+    repeated rows and copies fall into one class, so no group is expanded. A key
+    with several texts is in the class of each, and its sets are those of one.
 
-    Shuffles: keys of classes, one 16-byte row per block, candidate pairs, and the
-    shingle sets of candidates only. AQE splits skewed blocks.
+    Shuffles: keys of classes, one 16-byte row per block (TURNS shuffles, of which
+    one is kept at a time), candidate pairs, and the shingle sets of candidates
+    only. No block of more than HOT texts is compared at once (see _Candidates).
     """
     rows = classes(df, key, text)
     reps = stage(rows.groupBy("g1", "g2", "w").agg(F.min("k").alias("rep"), F.min_by("u", "k").alias("u")), "representatives")
-    members = rows.select("k", "g1", "g2", "w").join(reps.select("rep", "g1", "g2", "w"), ["g1", "g2", "w"]).select("k", "rep", "g1", "g2")
+    members = stage(rows.select("k", "g1", "g2", "w").join(reps.select("rep", "g1", "g2", "w"), ["g1", "g2", "w"]).select("k", "rep", "g1", "g2"), "members")
     first = reps.select("u")
-    small = first.count() <= BROADCAST_IDS
+    n = first.count()
+    small, turns = n <= BROADCAST_IDS, min(TURNS, 1 + n // TURN_CLASSES)
     firsts = rows.join(F.broadcast(first) if small else first, "u", "left_semi").withColumnRenamed("k", "rep")
-    blocks = firsts.select("rep", F.posexplode("sig").alias("i", "v")).select("rep", (F.shiftleft(F.col("i").cast("bigint"), 32) + F.col("v").cast("bigint")).alias("block"))
-    a, b = blocks.withColumnRenamed("rep", "a"), blocks.withColumnRenamed("rep", "b")
-    met = a.join(b, "block").where("a < b").select("a", "b")
-    if not small:
-        met = met.distinct()
-    bits = lambda x: (lambda d: F.broadcast(d) if small else d)(firsts.select(F.col("rep").alias(x), *(F.col(c).alias(x + c) for c in _BITS)))
-    differ = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _BITS[1:]), F.bit_count(F.col(f"a{_BITS[0]}").bitwiseXOR(F.col(f"b{_BITS[0]}"))))
-    cand = stage(met.join(bits("a"), "a").join(bits("b"), "b").where(differ <= 64 * BITS - AGREE).select("a", "b").distinct(), "candidates")
-    ids = stage(cand.select(F.col("a").alias("k")).union(cand.select("b")).distinct(), "candidate-ids")
-    pick = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    src = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(has_words(F.col("t"))).join(pick, "k", "left_semi")
-    sets = stage(src.mapInArrow(_shingles, "k bigint, s array<int>").dropDuplicates(["k"]), "shingles")
-    both = cand.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+    got = _Candidates(firsts, small)
+    for turn in range(turns):
+        a, z = BLOCKS * turn // turns, BLOCKS * (turn + 1) // turns
+        part = firsts.select("rep", F.posexplode(F.slice("sig", a + 1, z - a)).alias("i", "v"))
+        got.add(part.select("rep", (F.shiftleft(F.col("i").cast("bigint") + a, 32) + F.col("v").cast("bigint")).alias("block")))
+    cand = got.all()
+    unstage(rows, reps)
+    sides = cand.select(F.explode(F.array(F.struct(F.col("a").alias("k"), F.lit(True).alias("first")), F.struct(F.col("b").alias("k"), F.lit(False).alias("first")))).alias("x"), "a", "b").select("x.k", "x.first", "a", "b")
+    ids = stage(sides.select("k").distinct(), "candidate-ids")
+    src = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    src = src.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "k", "left_semi")
+    sets = src.mapInArrow(_shingles, "k bigint, s array<int>")
+    # one row a pair, with the sets of both sides; a repeated key counts once
+    of = lambda side: F.max(F.when(F.col("first") == side, F.col("s")))
+    both = sides.join(sets, "k").groupBy("a", "b").agg(of(True).alias("sa"), of(False).alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     close = both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity")).where(F.col("similarity") >= similarity)
-    return stage(close, "close"), members
+    close = stage(close, "close")
+    unstage(cand, ids)
+    return close, members
 
 
 def near_duplicates(df: DataFrame, key: str = "row_id", text: str = "lyrics", similarity: float = 0.5) -> DataFrame:
@@ -188,7 +276,6 @@ def near_duplicates(df: DataFrame, key: str = "row_id", text: str = "lyrics", si
     classes to their members, as the query asks; see near_pairs for the cases.
     """
     close, members = near_pairs(df, key, text, similarity)
-    members = stage(members, "members")
     tagged = members.groupBy("rep").agg(F.first("g1").alias("g1"), F.first("g2").alias("g2"))
     g = lambda x: tagged.select(F.col("rep").alias(x), F.col("g1").alias(f"{x}1"), F.col("g2").alias(f"{x}2"))
     far = close.join(g("a"), "a").join(g("b"), "b").where("a1 <> b1 or a2 <> b2").select("a", "b")
@@ -203,20 +290,24 @@ def near_groups(df: DataFrame, key: str = "row_id", text: str = "lyrics", simila
     Groups are connected components, named by their smallest key: every round
     takes the smallest label of the neighbours, then the label's own label, until
     nothing changes. Only labels are aggregated (map-side), each round is written
-    to the shared folder, and no group is ever gathered. Copies share a row's links.
+    to the shared folder and the one before removed, and no group is ever
+    gathered. Copies share a row's links.
     """
     close, members = near_pairs(df, key, text, similarity)
-    members = stage(members, "members")
     edges = stage(close.select("a", "b").union(close.select("b", "a")), "edges")
+    unstage(close)
     label = stage(edges.select(F.col("a").alias("v")).distinct().withColumn("l", F.col("v")), "labels")
     while True:
         near = edges.join(label, edges.b == label.v).groupBy("a").agg(F.min("l").alias("n"))
         step = label.join(near, label.v == near.a).select("v", F.least("l", "n").alias("l"), (F.col("n") < F.col("l")).alias("changed"))
         step = stage(step, "labels")
+        unstage(label)
         if step.where("changed").isEmpty():
+            label = step
             break
         jump = step.select(F.col("v").alias("u"), F.col("l").alias("root"))
         label = stage(step.join(jump, step.l == jump.u).select("v", F.least("l", "root").alias("l")), "labels")
+        unstage(step)
     links = edges.groupBy("a").agg(F.count(F.lit(1)).alias("links"))
     found = label.join(links, label.v == links.a).select("v", "l", "links")
     return members.join(found, members.rep == found.v, "left").select(
