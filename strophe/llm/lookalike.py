@@ -164,15 +164,20 @@ def same_looking(df: DataFrame, key: str = "row_id", text: str = "lyrics") -> Da
 
     Null keys and texts without words take no part; rows of one key pair up only
     with other keys. Only 128-bit keys of forms are joined, after groups with a
-    single string are gone; AQE splits a skewed group.
+    single string are gone: each form's different strings with each other, then
+    either side with its rows, so n copies of one string and one of another take
+    2n rows, not n².
     """
     forms = repair(df.where(has_words(F.col(text))), key, text).where(F.col(key).isNotNull())
     keyed = stage(
         forms.select(key, F.xxhash64("form").alias("k1"), F.xxhash64(F.lit(7), F.col("form")).alias("k2"), F.xxhash64(text, F.lit(1)).alias("h"), dirty(F.col(text)).alias("d")),
         "forms",
     )
-    several = keyed.groupBy("k1", "k2").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.max("d").alias("d")).where("d and a <> b").select("k1", "k2")
-    some = keyed.join(several, ["k1", "k2"], "left_semi")
-    a = some.select("k1", "k2", F.col(key).alias(f"{key}_a"), F.col("h").alias("ha"))
-    b = some.select("k1", "k2", F.col(key).alias(f"{key}_b"), F.col("h").alias("hb"))
-    return a.join(b, ["k1", "k2"]).where(f"{key}_a < {key}_b and ha <> hb").select(f"{key}_a", f"{key}_b").distinct()
+    several = keyed.groupBy("k1", "k2").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.max("d").alias("d")).where("d and x <> y").select("k1", "k2")
+    some = stage(keyed.join(several, ["k1", "k2"], "left_semi").select("k1", "k2", "h", F.col(key).alias("k")), "alike")
+    strings = some.groupBy("k1", "k2", "h").agg(F.count(F.lit(1)).alias("n"))
+    pairs = strings.select("k1", "k2", F.col("h").alias("ha")).join(strings.select("k1", "k2", F.col("h").alias("hb")), ["k1", "k2"]).where("ha < hb")
+    a = some.select("k1", "k2", F.col("h").alias("ha"), F.col("k").alias("ka"))
+    b = some.select("k1", "k2", F.col("h").alias("hb"), F.col("k").alias("kb"))
+    rows = pairs.join(a, ["k1", "k2", "ha"]).join(b, ["k1", "k2", "hb"]).where("ka <> kb")
+    return rows.select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b")).distinct()
