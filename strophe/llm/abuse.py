@@ -1,7 +1,7 @@
 """Abusive, hateful, threatening or sexual lines, by weak supervision.
 
 Voters (lexicons by category, patterns, statistics of the labelled songs, and the
-songs' labels themselves) vote on the lines of labelled songs. A generative model
+songs' labels themselves, whose accuracy is known) vote on the lines of songs. A generative model
 estimates, without line labels, how each voter votes on abusive and on harmless
 lines, and how far voters repeat each other; its posteriors are the soft labels of
 a linear classifier over words and pairs of words, which scores every line.
@@ -20,11 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophe.functions.characters import DIRTY_PY, has_words
+from strophe.llm.fitting import smallest
 from strophe.llm.lookalike import skeleton
 
 CATEGORIES = ("insult", "hate", "threat", "sexual")
-#: Most labelled songs that the model is fitted on: those with the smallest hashes.
-FIT_SONGS = 6_000
+#: Most labelled songs that the model is fitted on (those with the smallest hashes), songs that it is fitted on at least, and most terms.
+FIT_SONGS, LEAST_SONGS, MOST_TERMS = 6_000, 1_500, 100_000
+#: Abusive lines of a flagged song, and how much rarer they are in unlabelled songs than in the labelled ones.
+ABUSIVE_LINES, UNLABELLED = 1.0, 0.2
 #: A song with a line of at least this probability is abusive.
 THRESHOLD = 0.5
 # Words that address someone, in the six languages.
@@ -213,27 +216,30 @@ def _lines(ids: np.ndarray, owner: np.ndarray) -> tuple[list[tuple[int, ...]], l
     return out, who
 
 
-def label_model(votes: np.ndarray, prior: float = 0.05, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, prior: float = 0.05, rounds: int = 40, known: dict[int, tuple[float, float, float]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posteriors, tables P(vote | class) as (voter, vote + 1, class), and correlations of voters given the class.
 
-    Expectation maximisation over votes in {-1, 0, 1}. After a first fit, each
-    voter counts with weight 1 / (1 + its positive correlations with the others
-    given the class), so voters that repeat each other share one voice.
+    Expectation maximisation over votes in {-1, 0, 1}; prior is the share of the
+    class. After a first fit, each voter counts with weight 1 / (1 + its positive
+    correlations with the others given the class), so voters that repeat each
+    other share one voice. known: the log-likelihood ratios of voters that aren't
+    estimated, by vote; they count in full.
     """
     n, m = votes.shape
+    known = known or {}
+    free = [j for j in range(m) if j not in known]
     table = np.empty((m, 3, 2))
     table[:, :, 1] = (0.1, 0.4, 0.5)
     table[:, :, 0] = (0.5, 0.4, 0.1)
     weight = np.ones(m)
-    share = prior
+    given = sum((np.array(r)[votes[:, j] + 1] for j, r in known.items()), np.zeros(n))
     cor = np.eye(m)
     for turn in range(2):
         for _ in range(rounds):
-            log = np.log(table)
-            like = sum(weight[j] * log[j][votes[:, j] + 1] for j in range(m)) + np.log([1 - share, share])
-            post = 1 / (1 + np.exp(np.clip(like[:, 0] - like[:, 1], -50, 50)))
-            share = float(np.clip(post.mean(), 0.002, 0.3))
-            for j in range(m):
+            ratio = np.log(table[:, :, 1] / table[:, :, 0])
+            z = sum((weight[j] * ratio[j][votes[:, j] + 1] for j in free), given) + np.log(prior / (1 - prior))
+            post = 1 / (1 + np.exp(np.clip(-z, -50, 50)))
+            for j in free:
                 for v in range(3):
                     hit = votes[:, j] == v - 1
                     table[j, v, 1] = (post[hit].sum() + 1.0) / (post.sum() + 3)
@@ -245,30 +251,45 @@ def label_model(votes: np.ndarray, prior: float = 0.05, rounds: int = 40) -> tup
             rest = votes - ((1 - post)[:, None] * mean[0] + post[:, None] * mean[1])
             sd = rest.std(0) + 1e-9
             cor = (rest / sd).T @ (rest / sd) / max(n, 1)
-            weight = 1 / (1 + np.maximum(cor - np.eye(m), 0).clip(0, 1).sum(1))
+            own = np.maximum(cor - np.eye(m), 0).clip(0, 1)[:, free].sum(1)
+            weight = 1 / (1 + own)
     return post, table, cor
 
 
 def fit(songs: DataFrame, labels: DataFrame, terms: DataFrame, fit_songs: int = FIT_SONGS) -> Model:
     """A model from labelled songs (row_id, lyrics; row_id, flagged) and terms (term, category).
 
-    At most fit_songs labelled songs are taken to the driver. Null texts, labels
-    and terms are left out. Without labelled songs the terms alone are the model.
+    At most fit_songs labelled songs, those with the smallest hashes, are taken to
+    the driver; where there are less than LEAST_SONGS, unlabelled ones (with an
+    unknown label) make up for them, so that few labels don't make usual words look
+    abusive. Null keys, texts, labels and terms are left out; over MOST_TERMS
+    terms are an error. Without labelled songs the terms alone are the model.
     """
-    rows = songs.select("row_id", "lyrics").where("lyrics is not null").join(labels.where("flagged is not null").select("row_id", "flagged"), "row_id")
-    rows = rows.orderBy(F.xxhash64(F.lit(3), "row_id"), "row_id", "lyrics").limit(fit_songs).collect()
-    texts, flagged = [r.lyrics for r in rows], np.array([r.flagged for r in rows], bool)
-    lexicon = [(r.term.lower(), r.category) for r in terms.where("term is not null").limit(10_000).collect()]
-    return learn(texts, flagged, lexicon)
-
-
-def learn(texts: list[str], flagged: np.ndarray, lexicon: list[tuple[str, str]]) -> Model:
+    given = terms.where("term is not null").select("term", "category").distinct().limit(MOST_TERMS + 1).collect()
+    if len(given) > MOST_TERMS:
+        raise ValueError(f"over {MOST_TERMS} terms")
+    lexicon = sorted((r.term.lower(), r.category or "") for r in given)
+    texts = songs.select("row_id", "lyrics").where("row_id is not null and lyrics is not null")
+    known = labels.where("flagged is not null").select("row_id", "flagged").distinct()
+    hashed = F.xxhash64(F.lit(3), "row_id", "lyrics")
+    rows = sorted(smallest(texts.join(known, "row_id"), hashed, fit_songs).select(hashed.alias("h"), "row_id", "lyrics", "flagged").collect())
+    more: list[str] = []
+    if lack := max(0, min(LEAST_SONGS, fit_songs) - len(rows)):
+        others = texts.where(has_words(F.col("lyrics"))).join(labels.select("row_id"), "row_id", "left_anti")
+        more = [r.lyrics for r in sorted(smallest(others, hashed, lack).select(hashed.alias("h"), "row_id", "lyrics").collect())]
+    return learn([r.lyrics for r in rows], np.array([r.flagged for r in rows], bool), lexicon, more)
+
+
+def learn(texts: list[str], flagged: np.ndarray, lexicon: list[tuple[str, str]], background: list[str] | tuple[()] = ()) -> Model:
+    """A model from labelled texts, and unlabelled ones that show which words are usual; lexicon: terms with their categories."""
+    label = np.r_[np.where(flagged, 1, -1), np.zeros(len(background), np.int64)].astype(np.int64)
+    texts = [*texts, *background]
     plain = Words()
     ids, owner, _ = tokens(texts, None, plain)
-    seen = Counter(ids[(ids > 0) & flagged[owner]].tolist()) if len(texts) else Counter()
+    seen = Counter(ids[(ids > 0) & (label[owner] > 0)].tolist()) if len(texts) else Counter()
     names = {v: k for k, v in plain.numbers.items()}
     # words that masked ones may stand for, the likelier abusive the better
-    clean = Counter(ids[(ids > 0) & ~flagged[owner]].tolist()) if len(texts) else Counter()
+    clean = Counter(ids[(ids > 0) & (label[owner] <= 0)].tolist()) if len(texts) else Counter()
     known = {names[i]: (n + 0.5) / (clean[i] + 0.5) for i, n in seen.items() if len(names[i]) > 2}
     for term, _ in lexicon:
         known |= {bare(w): 1e6 for w in _TOKEN.findall(term) if len(w) > 2}
@@ -276,9 +297,7 @@ def learn(texts: list[str], flagged: np.ndarray, lexicon: list[tuple[str, str]])
     words = Words()
     ids, owner, odd = tokens(texts, decoder, words)
     lines, who = _lines(ids, owner)
-    song = np.array(who, np.int64)
-    bad = flagged[song] if len(song) else np.zeros(0, bool)
-    # songs that hold a word or a pair
+    # songs that hold a word or a pair, flagged or not; unlabelled ones count as not
     uni, pair = (defaultdict(lambda: [0, 0]) for _ in range(2))
     words_of, pairs_of = defaultdict(set), defaultdict(set)
     for x, s in zip(lines, who):
@@ -286,13 +305,13 @@ def learn(texts: list[str], flagged: np.ndarray, lexicon: list[tuple[str, str]])
         pairs_of[s].update(zip(x, x[1:]))
     for store, of in ((uni, words_of), (pair, pairs_of)):
         for s, keys in of.items():
-            f = int(flagged[s])
+            f = int(label[s] > 0)
             for k in keys:
                 store[k][f] += 1
-    nf, nu = max(1, int(flagged.sum())), max(1, int((~flagged).sum()))
-    ratio = lambda c: math.log((c[1] + 0.3) / nf) - math.log((c[0] + 0.3) / nu)
-    uni, pair = ({k: ratio(c) for k, c in store.items()} for store in (uni, pair))
-    clean_lines = {x for x, f in zip(lines, bad) if not f}
+    nf, nu = max(1, int((label > 0).sum())), max(1, int((label <= 0).sum()))
+    # how much likelier a word or pair is in flagged songs; a song's own use says nothing about it
+    ratio = lambda c, f: math.log((c[1] - f + 0.5) / nf) - math.log((c[0] - (not f) + 0.5) / nu)
+    clean_lines = {x for x, s in zip(lines, who) if label[s] < 0}
     address = {words[w] for w in ADDRESS}
     lex = defaultdict(list)
     for term, category in lexicon:
@@ -300,35 +319,41 @@ def learn(texts: list[str], flagged: np.ndarray, lexicon: list[tuple[str, str]])
             lex[k[0]].append((k, CATEGORIES.index(category)))
     lone = {k for k, x in lex.items() if any(len(t) == 1 for t, _ in x)}
     mean = lambda x: sum(x) / len(x)
-    votes = np.zeros((len(lines), 4 + 6), np.int64)
-    for i, (x, s, f) in enumerate(zip(lines, who, bad)):
+    votes = np.zeros((len(lines), len(CATEGORIES) + 8), np.int64)
+    telling = np.zeros(len(lines))
+    for i, (x, s) in enumerate(zip(lines, who)):
         any_term = False
         for at, t in enumerate(x):
             for k, j in lex.get(t, ()):
                 if x[at : at + len(k)] == k:
                     votes[i, j] = any_term = True
-        u = [uni[k] for k in x]
-        p = [pair[k] for k in zip(x, x[1:])]
-        top = max(u)
-        votes[i, 4] = 1 if any_term and address.intersection(x) else -1 if not any_term and top < 0.7 else 0
-        votes[i, 5] = 1 if top > 2.5 else -1 if top < 1 else 0
-        votes[i, 6] = (1 if sum(q > 1.5 for q in p) > 1 else -1 if max(p) < 0.7 else 0) if p else 0
-        votes[i, 7] = -1 if x in clean_lines else 1 if mean(p or u) > 1.2 else 0
-        votes[i, 8] = -1 if not f else 1 if mean(u) > 1.5 else 0
-        votes[i, 9] = 1 if odd[s] and f and top > 2 else 0
-    if len(lines):
-        post, _, _ = label_model(votes)
-        post[~bad] = 0.0
-        # a flagged song has an abusive line: if none is likely, the one with the most telling words
-        best = defaultdict(lambda: (-1.0, -1))
-        for i in np.nonzero(bad)[0]:
-            p = [pair[k] for k in zip(lines[i], lines[i][1:])] + [uni[k] for k in lines[i]]
-            best[who[i]] = max(best[who[i]], (float(post[i]) + 0.01 * mean(p) if lines[i] not in clean_lines else -1.0, int(i)))
-        for score, i in best.values():
-            if i >= 0 and score > -1 and len(lines[i]) > 2:
-                post[i] = max(post[i], 0.8)
-    else:
-        post = np.zeros(0)
+        f = label[s] > 0
+        u = [ratio(uni[k], f) for k in x]
+        p = [ratio(pair[k], f) for k in zip(x, x[1:])]
+        top, usual = max(u), x in clean_lines
+        telling[i] = mean(p + u) if len(x) > 2 and not usual else -9.0
+        votes[i, 4:] = (
+            1 if any_term and address.intersection(x) else -1 if not any_term and top < 0.7 else 0,
+            1 if top > 2.5 else -1 if top < 1 else 0,
+            (1 if sum(q > 1.5 for q in p) > 1 else -1 if max(p) < 0.7 else 0) if p else 0,
+            -1 if usual else 1 if mean(p or u) > 1.2 else 0,
+            1 if mean(u) > 1.5 else -1 if mean(u) < 0.5 else 0,
+            1 if odd[s] and top > 2 else 0,
+            label[s],  # the song's label: no line of an unflagged song is abusive
+            0,
+        )
+    # a flagged song has an abusive line: the one with the most telling words gets a vote
+    best: dict[int, int] = {}
+    for i, s in enumerate(who):
+        if label[s] > 0 and telling[i] > telling[best.setdefault(s, i)]:
+            best[s] = i
+    votes[[i for i in best.values() if telling[i] > 0], -1] = 1
+    # the song's label is the voter whose accuracy is known: abusive lines are in flagged songs alone, about ABUSIVE_LINES in each
+    line_label = votes[:, -2]
+    bad, good = int((line_label > 0).sum()), int((line_label < 0).sum())
+    share = min(0.3, ABUSIVE_LINES * nf / max(1, bad + good))
+    known = {votes.shape[1] - 2: (-8.0, math.log(UNLABELLED), math.log((bad + good) / max(1, bad)))}
+    post = label_model(votes, share, known=known)[0] if len(lines) else np.zeros(0)
     return _classifier(words, decoder, lines, post, lone)
 
 
@@ -354,7 +379,7 @@ def _classifier(words: Words, decoder: Decoder, lines: list[tuple[int, ...]], po
     prior = w.copy()
     rows, cols, y, weight = np.array(rows, np.int64), np.array(cols, np.int64), np.array(y), np.array(weight)
     edge = np.searchsorted(rows, np.arange(len(y) + 1))
-    weight = weight * np.where(y > 0.5, 3.0, 1.0)
+    weight = weight * np.where(y > 0.5, 2.0, 1.0)
     g2, gb = np.full(len(w), 0.1), 0.1
     r = np.random.default_rng(5)
     order = r.permutation(len(y))
@@ -401,6 +426,11 @@ def score(df: DataFrame, model: Model, key: str = "row_id", text: str = "lyrics"
     return src.mapInArrow(run, f"{schema}, score double").withColumnRenamed("k", key)
 
 
+def scores(songs: DataFrame, labels: DataFrame, terms: DataFrame) -> DataFrame:
+    """(row_id, score) of every song with words."""
+    return score(songs, fit(songs, labels, terms))
+
+
 def unlabelled_abuse(songs: DataFrame, labels: DataFrame, terms: DataFrame) -> DataFrame:
     """(row_id) of the abusive songs that have no label."""
     found = score(songs, fit(songs, labels, terms)).where(F.col("score") >= THRESHOLD).select("row_id")

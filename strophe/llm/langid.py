@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophe.functions.characters import DIRTY_PY, TAGS, has_words
+from strophe.llm.fitting import smallest
 from strophe.llm.lookalike import skeleton
 from strophe.operators.unpack import VOCAL, _any, _tags
 
@@ -35,8 +36,8 @@ CODE = {n: k for k, v in NAMES.items() for n in [k, *v.split()]}
 WINDOW, BATCH = 47, 400
 #: Filters of width 2, 3 and 4.
 FILTERS = {2: 8, 3: 16, 4: 16}
-#: Most labelled songs that the network is fitted on; they're those with the smallest hashes.
-FIT_SONGS = 1_500
+#: Most labelled songs, and most clean lines, that the network is fitted on; they're those with the smallest hashes.
+FIT_SONGS, FIT_LINES = 1_500, 5_000
 #: A line weighs as its length in bytes up to this many, so that interjections weigh little.
 FULL_LINE = 24
 _ENDS = "\n\r\t|;/.•。；!?！？、，"
@@ -256,22 +257,24 @@ def _judge(it: Iterator[pa.RecordBatch], net: Network) -> Iterator[pa.RecordBatc
 
 
 def train(samples: DataFrame, songs: DataFrame | None = None, text: str = "lyrics", label: str = "lang", key: str = "row_id", fit_songs: int = FIT_SONGS) -> Network:
-    """A network fitted on clean labelled lines (lang, text), then on lines of at most fit_songs labelled songs.
+    """A network fitted on at most FIT_LINES clean labelled lines (lang, text), then on lines of at most fit_songs labelled songs.
 
-    The songs are those with the smallest key hashes, so the fit doesn't depend on
-    partitioning. Their labels may be wrong: a line counts only if the network, as
+    Lines and songs are those with the smallest hashes, so the fit doesn't depend
+    on partitioning, and the driver gets no more than them. Their labels may be wrong: a line counts only if the network, as
     fitted on the clean lines, finds the labelled language at least as likely as 0.3.
-    Null or unknown labels and null texts are left out; without clean lines the
+    Null keys, null or unknown labels and null texts are left out; without clean lines the
     songs' labels are taken as they are.
     """
-    clean = [(_normal(r.text), LANGS.index(normal_label(r.lang))) for r in samples.select("text", "lang").where("text is not null").limit(5_000).collect() if normal_label(r.lang)]
+    given = smallest(samples.select("text", "lang").where("text is not null and lang is not null"), F.xxhash64(F.lit(13), "text", "lang"), FIT_LINES)
+    clean = [(_normal(r.text), LANGS.index(normal_label(r.lang))) for r in sorted(given.collect()) if normal_label(r.lang)]
     net = Network()
     lines, y = [x for x, _ in clean], np.array([k for _, k in clean], np.int64)
     if lines:
         net.fit(lines, y, np.ones(len(y), np.float32), 30)
     if songs is None:
         return net
-    some = songs.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.xxhash64(F.lit(11), key).alias("h"), F.col(text).alias("t"), F.col(label).alias("l")).orderBy("h", "t").limit(fit_songs).collect()
+    labelled = songs.where(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.xxhash64(F.lit(11), key, text).alias("h"), F.col(text).alias("t"), F.col(label).alias("l"))
+    some = sorted(smallest(labelled, F.col("h"), fit_songs).collect())
     known = [(r.t, normal_label(r.l)) for r in some]
     known = [(t, k) for t, k in known if k]
     if not known:

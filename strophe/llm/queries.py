@@ -9,6 +9,8 @@ from strophe.session import table
 
 #: Share of the identifiers that p5_sample chooses.
 SAMPLE_RATE = 0.1
+#: Shortest text in p10_found.
+LEAST_CHARS = 200
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +47,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.unlabelled_abuse(*(table(spark, sf_dir, t) for t in ("songs", "song_labels", "flag_terms")))
 
 
+def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scores(*(table(spark, sf_dir, t) for t in ("songs", "song_labels", "flag_terms")))
+
+
 def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(*(table(spark, sf_dir, t) for t in ("songs", "song_labels", "flag_terms")))
 
@@ -71,7 +77,7 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reading.ungraded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels"))
+    return reading.ungraded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels"), LEAST_CHARS)
 
 
 def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,15 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophe.functions.characters import DIRTY_PY
+from strophe.llm.fitting import smallest
 from strophe.llm.lookalike import skeleton
 
 GRADES = (1, 2, 3, 4, 5)
 #: Weight of a grade's own words against those of all grades (Jelinek-Mercer smoothing).
 OWN = 0.7
-#: Most labelled documents, and most distinct words, that the models are fitted on; the documents with the smallest hashes, the words that are most frequent.
-FIT_DOCUMENTS, FIT_WORDS = 20_000, 100_000
-#: Shortest text that has a level.
-LEAST_CHARS = 200
+#: Most labelled documents that the models are fitted on, those with the smallest hashes; all of their words count.
+FIT_DOCUMENTS = 20_000
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _TAG = re.compile(r"\[\w+\]")
 
@@ -69,17 +68,15 @@ class Models:
 
 
 def fit(labelled: DataFrame, text: str = "text", grade: str = "grade", key: str = "doc_id") -> Models:
-    """Models fitted on labelled texts (key, text, grade); null texts, and grades outside GRADES, are left out.
+    """Models fitted on labelled texts (key, text, grade); null texts and keys, and grades outside GRADES, are left out.
 
-    Words are counted where the texts are; the driver gets at most FIT_WORDS
-    words of each grade, of at most FIT_DOCUMENTS documents.
+    Words are counted where the texts are and added up over all tasks; the driver
+    gets the counts of the words of at most FIT_DOCUMENTS documents.
     """
-    rows = labelled.select(F.col(grade).cast("int").alias("g"), F.col(text).alias("t"), F.col(key).alias("k")).where(F.col("t").isNotNull() & F.col("g").isin(*GRADES))
-    rows = rows.orderBy(F.xxhash64(F.lit(5), "k"), "k", "t", "g").limit(FIT_DOCUMENTS).select("g", "t")
-    counted = rows.mapInArrow(_words, "g int, w string, n bigint").groupBy("g", "w").agg(F.sum("n").alias("n"))
-    top = counted.groupBy("w").agg(F.sum("n").alias("all"), F.collect_list(F.struct("g", "n")).alias("by")).orderBy(F.desc("all"), "w").limit(FIT_WORDS)
-    counts = [(x.g, r.w, x.n) for r in top.collect() for x in r.by]
-    return Models(counts, {r.g: r["count"] for r in rows.groupBy("g").count().collect()})
+    rows = labelled.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(grade).cast("int").alias("g"), F.col(text).alias("t"), F.xxhash64(F.lit(5), key, text).alias("h")).where(F.col("g").isin(*GRADES))
+    rows = smallest(rows, F.col("h"), FIT_DOCUMENTS).select("g", "t")
+    counts = rows.mapInArrow(_words, "g int, w string, n bigint").groupBy("g", "w").agg(F.sum("n").alias("n")).collect()
+    return Models(sorted((r.g, r.w, r.n) for r in counts), {r.g: r["count"] for r in rows.groupBy("g").count().collect()})
 
 
 def _grade(it: Iterator[pa.RecordBatch], models: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -100,13 +97,13 @@ def _every(it: Iterator[pa.RecordBatch], models: Broadcast) -> Iterator[pa.Recor
         )
 
 
-def levels(df: DataFrame, models: Models, key: str = "doc_id", text: str = "text", least: int = LEAST_CHARS) -> DataFrame:
+def levels(df: DataFrame, models: Models, key: str = "doc_id", text: str = "text", least: int = 0) -> DataFrame:
     """(key, grade, posterior) of every text of at least so many characters.
 
-    Null and shorter texts have no row; texts are read whole; null keys and
+    Null texts, and shorter ones, have no row; texts are read whole; null keys and
     repeated rows are kept. A text without a known word gets the most frequent
-    grade. One pass, no shuffle; the models (at most FIT_WORDS words of five
-    numbers) are broadcast.
+    grade. One pass, no shuffle; the models (the words of at most FIT_DOCUMENTS
+    documents, five numbers each) are broadcast.
     """
     shared = df.sparkSession.sparkContext.broadcast(models)
     src = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") >= least)
@@ -126,9 +123,9 @@ def every_level(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(partial(_every, models=shared), "doc_id bigint, grade int, posterior double, known bigint")
 
 
-def ungraded(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, grade) of the English documents without a label."""
+def ungraded(documents: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+    """(doc_id, grade) of the English documents of at least so many characters without a label."""
     english = documents.where("lang = 'en'").select("doc_id", "text")
     models = fit(english.join(labels.select("doc_id", "grade"), "doc_id"))
     rest = english.join(labels.select("doc_id"), "doc_id", "left_anti")
-    return levels(rest, models).select("doc_id", "grade")
+    return levels(rest, models, least=least).select("doc_id", "grade")
