@@ -1,6 +1,6 @@
 """Items packed into containers of fixed capacity by a grouping genetic algorithm.
 
-Items are dealt by hash to shards of bounded size. On every shard some islands
+Items are dealt by hash to shards of about SHARD items; equal ones are numbered first, so no key fills one. On every shard some islands
 evolve packings of the same items apart from each other: a crossover injects whole
 well-filled containers of one packing into another, drops the containers that hold
 an injected item, and puts the displaced items where they fit best. Then each
@@ -16,12 +16,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophe.session import stage
+from strophe.session import stage, unstage
 
 #: Items of a shard, on the average; islands of a shard; packings of an island; crossovers of each of two epochs.
 SHARD, ISLANDS, PACKINGS, CROSSOVERS = 1_000, 2, 4, 12
-#: Most kinds of containers.
+#: Most kinds of containers; more are an error.
 CAPACITIES = 1_000
+#: Islands that one task evolves.
+ISLANDS_A_TASK = 8
+#: Equal items are numbered in runs of so many.
+RUN = 4_096
 #: A container filled less is packed anew with those of other shards, so often at most.
 SLACK, ROUNDS = 0.98, 2
 
@@ -132,30 +136,41 @@ def _epoch(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield df.assign(packings=[o[0] for o in out], bins=[o[1] for o in out], fitness=[o[2] for o in out]).drop(columns=["seed"])
 
 
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """(k, n, o): o tells equal items (same key, same size) apart. They are counted with a map-side combine and written out in runs, so many equal ones are no burden to one task's memory."""
+    counted = sizes.groupBy("k", "n").agg(F.count(F.lit(1)).alias("c"))
+    runs = counted.select("k", "n", "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("c") - 1) / RUN))).alias("r"))
+    return runs.select("k", "n", F.explode(F.sequence(F.col("r") * RUN, F.least(F.col("c"), (F.col("r") + 1) * RUN) - 1)).alias("o"))
+
+
 def _pack_once(items: DataFrame, name: str, turn: int) -> DataFrame:
-    """(pack_name, capacity, k, part, n, container): items (pack_name, capacity, k, part, n), each in a container of its shard."""
+    """(pack_name, capacity, k, part, n, o, container): items (pack_name, capacity, k, part, n, o), each in a container of its shard."""
     count = items.groupBy("pack_name").count()
     shards = {r.pack_name: max(1, -(-r["count"] // SHARD)) for r in count.collect()}  # a row a kind of container
     if not shards:
-        return items.withColumn("container", F.lit(""))
+        return stage(items.withColumn("container", F.lit("")), f"{name}-packed")
+    tasks = -(-sum(shards.values()) * ISLANDS // ISLANDS_A_TASK)  # a number of partitions that is given is not merged by size
     many = F.create_map(*(F.lit(x) for kv in shards.items() for x in kv))
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64(F.lit(turn), "k", "part"), many[F.col("pack_name")]))
-    base = dealt.groupBy("pack_name", "capacity", "shard").agg(F.sort_array(F.collect_list(F.struct("k", "part", "n"))).alias("items"))
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64(F.lit(turn), "k", "part", "n", "o"), many[F.col("pack_name")]))
+    base = dealt.groupBy("pack_name", "capacity", "shard").agg(F.sort_array(F.collect_list(F.struct("k", "part", "n", "o"))).alias("items"))
     schema = "pack_name string, capacity int, shard bigint, island int, sizes array<bigint>, packings array<array<int>>, bins int, fitness double"
     base = stage(base, f"{name}-shards")
     seed = F.xxhash64("pack_name", "shard", F.lit(turn))
+    spread = lambda d: d.repartition(tasks, "pack_name", "shard", "island")
     start = base.select("pack_name", "capacity", "shard", F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))).alias("island"), F.col("items.n").alias("sizes"))
-    start = start.withColumn("packings", F.array().cast("array<array<int>>")).repartition("pack_name", "shard", "island")
+    start = spread(start.withColumn("packings", F.array().cast("array<array<int>>")))
     first = stage(start.withColumn("seed", seed).mapInPandas(_epoch, schema), f"{name}-epoch")
     guests = first.select("pack_name", "shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("packings")[0].alias("guest"))
-    met = first.join(guests, ["pack_name", "shard", "island"]).withColumn("packings", F.concat(F.array("guest"), F.slice("packings", 1, PACKINGS - 1)))
+    met = spread(first).join(spread(guests), ["pack_name", "shard", "island"]).withColumn("packings", F.concat(F.array("guest"), F.slice("packings", 1, PACKINGS - 1)))
     met = met.withColumn("seed", seed + 1).select("pack_name", "capacity", "shard", "island", "sizes", "packings", "seed")
     second = met.mapInPandas(_epoch, schema)
     best = second.groupBy("pack_name", "shard").agg(F.max_by(F.col("packings")[0], F.struct(-F.col("bins"), "fitness", -F.col("island"))).alias("genome"))
     rows = base.join(best, ["pack_name", "shard"]).select("pack_name", "capacity", "shard", F.explode(F.arrays_zip("items", "genome")).alias("x"))
-    return stage(
-        rows.select("pack_name", "capacity", "x.items.k", "x.items.part", "x.items.n", F.concat_ws("-", F.lit(f"r{turn}"), "shard", "x.genome").alias("container")), f"{name}-packed"
+    out = stage(
+        rows.select("pack_name", "capacity", "x.items.k", "x.items.part", "x.items.n", "x.items.o", F.concat_ws("-", F.lit(f"r{turn}"), "shard", "x.genome").alias("container")), f"{name}-packed"
     )
+    unstage(base, first)
+    return out
 
 
 def pack(sizes: DataFrame, containers: DataFrame, key: str = "doc_id", size: str = "tokens") -> DataFrame:
@@ -164,30 +179,36 @@ def pack(sizes: DataFrame, containers: DataFrame, key: str = "doc_id", size: str
     An item larger than the capacity is split: full parts, each a container of its
     own, and a rest that is packed; part is 0 for whole items, else counts from 1.
     A null size counts as 0, and items of size 0 take no room in the container they
-    are dealt to; null keys are kept, repeated keys are items of their own where
-    their sizes differ and else repeated rows of one container. Capacities that are
-    null or not positive give no rows. Container names are unique within a pack_name
-    and don't depend on partitioning.
-
-    A shard's items (SHARD on the average, dealt by hash) are all that one task
-    holds; items are shuffled once a round and capacity. Slack containers, a few a
-    shard, are pooled for a second round.
+    are dealt to; null keys are kept, and rows of a repeated key are items of their
+    own, also where their sizes are equal. Capacities that are null or not positive
+    give no rows; over CAPACITIES kinds of containers are an error. Container names
+    are unique within a pack_name and don't depend on partitioning.
+
+    A shard's items (SHARD on the average, dealt by hash of key, size and number)
+    are all that one task holds at once, and a task evolves ISLANDS_A_TASK islands;
+    items are shuffled once a round and capacity. Slack containers, a few a shard,
+    are pooled for a second round.
     """
-    caps = [(r.pack_name, r.capacity) for r in containers.select("pack_name", F.col("capacity").cast("int").alias("capacity")).where("capacity > 0").distinct().orderBy("pack_name", "capacity").limit(CAPACITIES).collect()]
+    kinds = containers.select("pack_name", F.col("capacity").cast("int").alias("capacity")).where("capacity > 0").distinct()
+    caps = sorted((r.pack_name, r.capacity) for r in kinds.limit(CAPACITIES + 1).collect())
+    if len(caps) > CAPACITIES:
+        raise ValueError(f"over {CAPACITIES} kinds of containers")
     every = F.array(*(F.struct(F.lit(p).alias("pack_name"), F.lit(c).alias("capacity")) for p, c in caps)) if caps else F.array().cast("array<struct<pack_name string, capacity int>>")
-    known = stage(sizes.select(F.col(key).alias("k"), F.coalesce(F.col(size).cast("bigint"), F.lit(0).cast("bigint")).alias("n")), "sizes")
-    items = known.select("k", "n", F.explode(every).alias("c")).select("c.pack_name", "c.capacity", "k", "n")
-    whole = items.where("n <= capacity").select("pack_name", "capacity", "k", F.lit(0).alias("part"), "n")
-    large = items.where("n > capacity").select("pack_name", "capacity", "k", "n", F.floor(F.col("n") / F.col("capacity")).cast("int").alias("full"))
-    full = large.select("pack_name", "capacity", "k", F.explode(F.sequence(F.lit(1), F.col("full"))).alias("part"), F.col("capacity").cast("bigint").alias("n"))
-    rest = large.where("n % capacity > 0").select("pack_name", "capacity", "k", (F.col("full") + 1).alias("part"), (F.col("n") % F.col("capacity")).alias("n"))
+    known = stage(_numbered(sizes.select(F.col(key).alias("k"), F.coalesce(F.col(size).cast("bigint"), F.lit(0).cast("bigint")).alias("n"))), "sizes")
+    items = known.select("k", "n", "o", F.explode(every).alias("c")).select("c.pack_name", "c.capacity", "k", "n", "o")
+    whole = items.where("n <= capacity").select("pack_name", "capacity", "k", F.lit(0).alias("part"), "n", "o")
+    large = items.where("n > capacity").select("pack_name", "capacity", "k", "n", "o", F.floor(F.col("n") / F.col("capacity")).cast("int").alias("full"))
+    full = large.select("pack_name", "capacity", "k", "o", F.col("n").alias("size"), F.explode(F.sequence(F.lit(1), F.col("full"))).alias("part"), F.col("capacity").cast("bigint").alias("n"))
+    rest = large.where("n % capacity > 0").select("pack_name", "capacity", "k", (F.col("full") + 1).alias("part"), (F.col("n") % F.col("capacity")).alias("n"), "o")
     todo = stage(whole.unionByName(rest), "items")
-    out = full.select("pack_name", F.concat_ws("-", F.lit("full"), F.coalesce(F.col("k").cast("string"), F.lit("null")), "part").alias("container"), "k", "part", "n")
+    named = F.concat_ws("-", F.lit("full"), F.coalesce(F.col("k").cast("string"), F.lit("null")), "size", "o", "part")
+    out = full.select("pack_name", named.alias("container"), "k", "part", "n")
     for turn in range(1, ROUNDS + 1):
         packed = _pack_once(todo, f"round{turn}", turn)
+        unstage(todo)
         if turn < ROUNDS:
             slack = packed.groupBy("pack_name", "capacity", "container").agg(F.sum("n").alias("fill")).where(F.col("fill") < SLACK * F.col("capacity")).select("pack_name", "container")
-            todo = stage(packed.join(slack, ["pack_name", "container"], "left_semi").select("pack_name", "capacity", "k", "part", "n"), "slack")
+            todo = stage(packed.join(slack, ["pack_name", "container"], "left_semi").select("pack_name", "capacity", "k", "part", "n", "o"), "slack")
             packed = packed.join(slack, ["pack_name", "container"], "left_anti")
         out = out.unionByName(packed.select("pack_name", "container", "k", "part", "n"))
     return out.select("pack_name", "container", F.col("k").alias(key), "part", F.col("n").alias(size))
