@@ -14,6 +14,8 @@ from strophe.session import stage
 
 #: Letters (and one Han character) whose counts make the histogram; any would do, these tell texts apart well.
 HISTOGRAM = "eanos的"
+#: Up to so many keys of members of classes (8 bytes each) are broadcast to pick their texts; beyond, they are joined.
+BROADCAST_KEYS = 1_000_000
 
 
 def letters(form: Column) -> Column:
@@ -53,15 +55,18 @@ def copies(df: DataFrame, key: str = "row_id", text: str = "lyrics") -> DataFram
     Refinement: stripped length and letter counts first; only rows of classes
     with several members are hashed (SHA-256), and only those hashes are grouped.
     Aggregates combine map-side, so a group that holds a third of all rows is a
-    third of nobody's task; the join back is split by AQE.
+    third of nobody's task; the join back is split by AQE. Texts are shuffled only
+    where more than BROADCAST_KEYS rows are in classes of several.
     """
     src = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & has_words(F.col("t")))
-    z = skeletons(src, "t", "form").select("k", "t", letters(F.col("form")).alias("z"))
+    clean = lambda d: skeletons(d, "t", "form").select("k", letters(F.col("form")).alias("z"))
     count = lambda x: F.length("z") - F.length(F.replace("z", F.lit(x), F.lit("")))
-    cheap = stage(z.select("k", F.length("z").alias("n"), F.xxhash64(*(count(x) for x in HISTOGRAM)).alias("h")), "invariants")
+    cheap = stage(clean(src).select("k", F.length("z").alias("n"), F.xxhash64(*(count(x) for x in HISTOGRAM)).alias("h")), "invariants")
     several = cheap.groupBy("n", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("n", "h")
-    members = cheap.join(several, ["n", "h"], "left_semi").select("k").distinct()
-    costly = stage(z.join(members, "k", "left_semi").select("k", F.unhex(F.sha2("z", 256)).alias("s")), "hashes")
+    members = stage(cheap.join(several, ["n", "h"], "left_semi").select("k").distinct(), "members")
+    # members are picked before their texts are cleaned again
+    few = members.count() <= BROADCAST_KEYS
+    costly = stage(clean(src.join(F.broadcast(members) if few else members, "k", "left_semi")).select("k", F.unhex(F.sha2("z", 256)).alias("s")), "hashes")
     groups = costly.groupBy("s").agg(F.min("k").alias("keep"), F.count(F.lit(1)).alias("copies"))
     found = costly.join(groups, "s").select("keep", F.col("k"), "copies")
     alone = cheap.join(members, "k", "left_anti").select(F.col("k").alias("keep"), "k", F.lit(1).cast("bigint").alias("copies"))
