@@ -20,7 +20,11 @@ def smallest(df: DataFrame, hashed: Column, n: int) -> DataFrame:
     total = rows.count()
     if total <= n:
         return rows
-    share = (n + MARGIN * math.sqrt(n) + MARGIN) / total
-    bound = int(-(2**63) + min(share, 1.0) * (2**64 - 1))
-    cut = sorted(r.h for r in rows.select(hashed.alias("h")).where(hashed <= bound).groupBy("h").count().collect() for _ in range(min(r["count"], n)))
-    return rows.where(hashed <= (cut[n - 1] if len(cut) >= n else bound))
+    share, cut = (n + MARGIN * math.sqrt(n) + MARGIN) / total, []
+    while True:
+        bound = int(-(2**63) + min(share, 1.0) * (2**64 - 1))
+        passed = rows.select(hashed.alias("h")).where(hashed <= bound).groupBy("h").count().collect()
+        cut = sorted(r.h for r in passed for _ in range(min(r["count"], n)))
+        if len(cut) >= n:
+            return rows.where(hashed <= cut[n - 1])
+        share *= 4  # hashes that many rows share
