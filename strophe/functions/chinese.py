@@ -1,7 +1,6 @@
 """Chinese text normalisation: numbers, dates, times, units and phones as words.
 
-Single readings are SQL text, valid in Spark and DuckDB alike, over a column of
-digits. The whole chain, whose steps depend on each other's results and look around
+Single readings are expressions over a column of digits. The whole chain, whose steps depend on each other's results and look around
 their matches, is one Arrow function.
 """
 
@@ -42,38 +41,33 @@ CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩"
 DROPPED = r"[——《》【】<>{}()（）#&@“”^_|\\]"
 
 
-# ---- SQL text ----
+# ---- readings as expressions ----
 
-def digits_sql(x: str, telephone: bool = False) -> str:
+def digits_words(x: Column, telephone: bool = False) -> Column:
     """Digits read one by one; by telephone a one is 幺."""
-    return f"translate({x}, '0123456789', '{DIGITS.replace('一', '幺') if telephone else DIGITS}')"
+    return F.translate(x, "0123456789", DIGITS.replace("一", "幺") if telephone else DIGITS)
 
 
-def _group_sql(g: str, zero: str, before: str) -> str:
-    """Four digits g; zero: whether 零 goes before a leading thousand; before: whether any digit stands before the group."""
-    parts = []
-    for k, place in enumerate(PLACES):
-        d = f"substr({g}, {k + 1}, 1)"
-        gap = zero if k == 0 else f"(substr({g}, {k}, 1) = '0' AND ({before} OR substr({g}, 1, {k}) <> '{'0' * k}'))"
-        parts.append(f"CASE WHEN {d} = '0' THEN '' ELSE concat(CASE WHEN {gap} THEN '零' ELSE '' END, translate({d}, '0123456789', '{DIGITS}'), '{place}') END")
-    return f"concat({', '.join(parts)})"
+def cardinal_words(x: Column) -> Column:
+    """A string of digits, of any length, as a cardinal; empty for empty, null for null.
 
+    Every digit gets its place, eight by eight, then what zeros make silent goes:
+    one 零 is left of a run inside, none at the end of four or eight digits.
+    """
+    y = F.lpad(x, (F.ceil(F.length(x) / F.lit(8)) * 8).cast("int"), "0")
+    y = F.regexp_replace(y, r"(\d)(\d)(\d)(\d)(\d)(\d)(\d)(\d)", "$1千$2百$3十$4万$5千$6百$7十$8亿")
+    y = F.regexp_replace(F.regexp_replace(y, "亿$", ""), "0[千百十]", "0")
+    y = F.regexp_replace(F.regexp_replace(y, "(?<![0-9千百十])0+万", "0"), "0+万", "万")
+    y = F.regexp_replace(F.regexp_replace(F.regexp_replace(y, "0+亿", "亿"), "^[0亿]+", ""), "0+$", "")
+    y = F.translate(F.regexp_replace(y, "0+", "0"), "0123456789", DIGITS)
+    return F.when(x == "", "").when(x.rlike("^0+$"), DIGITS[0]).otherwise(F.regexp_replace(y, "^一十", "十"))
 
-def cardinal_sql(x: str) -> str:
-    """A string of up to 12 digits as a cardinal: one 零 for a run of inner zeros, none at a group's end, 十 for a leading 一十."""
-    p = f"lpad({x}, 12, '0')"
-    a, b, c = (f"substr({p}, {i}, 4)" for i in (1, 5, 9))
-    high = f"CASE WHEN {a} = '0000' THEN '' ELSE concat({_group_sql(a, 'false', 'false')}, '亿') END"
-    mid = f"CASE WHEN {b} = '0000' THEN '' ELSE concat({_group_sql(b, 'false', f'{a} <> ' + chr(39) + '0000' + chr(39))}, '万') END"
-    low = f"CASE WHEN {c} = '0000' THEN '' ELSE {_group_sql(c, f'({a} <> ' + chr(39) + '0000' + chr(39) + f' AND {b} = ' + chr(39) + '0000' + chr(39) + ')', f'substr({p}, 1, 8) <> ' + chr(39) + '00000000' + chr(39))} END"
-    whole = f"concat({high}, {mid}, {low})"
-    return f"CASE WHEN {x} = '' THEN '' WHEN {p} = '000000000000' THEN '零' ELSE regexp_replace({whole}, '^一十', '十') END"
 
-
-def number_sql(whole: str, decimals: str) -> str:
+def number_words(whole: Column, decimals: Column) -> Column:
     """A cardinal with 点 and its decimals, without their trailing zeros."""
-    d = f"regexp_replace({decimals}, '0+$', '')"
-    return f"concat(CASE WHEN {whole} = '' AND {d} <> '' THEN '零' ELSE {cardinal_sql(whole)} END, CASE WHEN {d} = '' THEN '' ELSE concat('点', {digits_sql(d)}) END)"
+    d = F.regexp_replace(decimals, "0+$", "")
+    lead = F.when((whole == "") & (d != ""), DIGITS[0]).otherwise(cardinal_words(whole))
+    return F.concat(lead, F.when(d == "", "").otherwise(F.concat(F.lit("点"), digits_words(d))))
 
 
 # ---- the chain ----
@@ -83,7 +77,7 @@ def digits(x: str, telephone: bool = False) -> str:
 
 
 def cardinal(x: str) -> str:
-    """As cardinal_sql, for any length: 亿 splits off eight digits, 万 four."""
+    """Digits of any length as a cardinal: 亿 splits off eight digits, 万 four."""
     x = x.lstrip("0")
     if not x:
         return DIGITS[0]

@@ -11,8 +11,17 @@ MARKS = "[!?;,:…！？，]"
 GONE = "[\"“”‘’«»〈〉《》【】(){}]"
 SUNG = ("[verse]", "[chorus]", "[bridge]")
 _TAG = r"\[(?:" + "|".join(TAGS) + r")\]"
+_UNSUNG = "|".join(t for t in TAGS if f"[{t}]" not in SUNG)
 _CUT = "\x01"
 _WS = r"[\s\p{Z}]"
+#: Signs within a sheet that is being cleaned: around a tag, at the ends of other bracketed text, and for a part whose characters are all dropped.
+OPEN, CLOSE, EDGE, EMPTY = "\x01", "\x02", "\x03", "\x04"
+
+
+def _lower_tags(x: Column) -> Column:
+    for t in TAGS:
+        x = F.regexp_replace(x, rf"(?i){OPEN}\[{t}\]", f"{OPEN}[{t}]")
+    return x
 
 
 def clean_lyrics(text: Column) -> Column:
@@ -21,23 +30,32 @@ def clean_lyrics(text: Column) -> Column:
     A comma goes between two different tags, and between a tag and text unless the
     tag is exactly a sung one; equal neighbours get none. Blanks between two Han
     characters become periods, without overlap. Null gives null, empty gives empty.
+
+    Every rule is one replacement over the whole sheet: tags are set between signs
+    first, so that the rules can look at what stands next to them.
     """
-    x = F.regexp_replace(text, MARKS, ".")
+    some = lambda x, has, pattern, to: let(x, lambda y: F.when(y.rlike(has) if has else y.contains(".."), F.regexp_replace(y, pattern, to)).otherwise(y))
+    x = F.regexp_replace(text, f"[{OPEN}{CLOSE}{EDGE}{EMPTY}]", "")
+    x = F.regexp_replace(x, MARKS, ".")
     x = F.regexp_replace(x, rf"(?i)({_TAG}){_WS}*[,.]", "$1 ")
-    x = F.regexp_replace(x, _WS + "+", " ")
-    parts = F.filter(F.split(F.regexp_replace(x, r"(\[[^\]]+\])", f"{_CUT}$1{_CUT}"), _CUT), lambda p: F.trim(p) != "")
-    is_tag = lambda p: p.isin(*(f"[{t}]" for t in TAGS))
-    text_part = lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, GONE, ""), " +", " "))
-    clean = F.transform(F.transform(parts, lambda p: F.trim(p)), lambda p: F.when(is_tag(F.lower(p)), F.lower(p)).otherwise(text_part(p)))
-
-    def joined(p: Column, following: Column) -> Column:
-        comma = F.when(is_tag(p) & is_tag(following), p != following).otherwise((is_tag(p) | is_tag(following)) & ~p.isin(*SUNG))
-        return F.concat(p, F.when(is_tag(p), " ").otherwise(""), F.when(following.isNotNull() & F.coalesce(comma, F.lit(False)), " , ").otherwise(""))
-
-    # neighbours come as a second array: what a lambda names is computed anew for each element
-    x = F.array_join(let(clean, lambda c: F.zip_with(c, F.slice(c, 2, F.greatest(F.size(c), F.lit(1))), joined)), "")
-    for a, b in ((f"{_WS}+,", " ,"), (f",{_WS}+", ", "), (r"\.{2,}", "."), (rf"\.{_WS}*,", ","), (f"([一-鿿]){_WS}+([一-鿿])", "$1.$2")):
-        x = F.regexp_replace(x, a, b)
+    x = F.regexp_replace(x, f"{_WS}+", " ")
+    # tags between their signs; other brackets and what they hold are a part of text
+    x = F.regexp_replace(x, rf" *(?:((?i:{_TAG}))|(\[[^\]]+\])) *", f"{OPEN}$1{CLOSE}$2{EDGE}")
+    x = F.replace(x, F.lit(f"{CLOSE}{EDGE}"), F.lit(CLOSE))
+    x = F.replace(x, F.lit(f"{OPEN}{CLOSE}"), F.lit(EDGE))
+    x = let(x, lambda y: F.when(y.rlike(rf"{OPEN}\[[^\]]*[A-Z]"), _lower_tags(y)).otherwise(y))
+    bare = f"(?<![^{CLOSE}{EDGE}]) *+(?:{GONE} *)++(?![^{OPEN}{EDGE}])"
+    gone = lambda y: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(y, bare, EMPTY), GONE, ""), " +", " "), f" ?([{OPEN}{CLOSE}{EDGE}]) ?", "$1")
+    x = let(x, lambda y: F.when(y.rlike(GONE), gone(y)).otherwise(y))
+    # commas: before a tag behind text, between different tags, and behind a tag that isn't sung before text
+    x = F.regexp_replace(x, f"(?<=[^{CLOSE}])(?={OPEN})", " , ")
+    x = F.regexp_replace(x, rf"{OPEN}\[(?:(\w+)\]{CLOSE}(?={OPEN}\[(?!\1\]))|({_UNSUNG})\]{CLOSE}(?=[^{OPEN}]))", "[$1$2]  , ")
+    x = F.replace(x, F.lit(CLOSE), F.lit(" "))
+    x = F.regexp_replace(x, f"[{OPEN}{EDGE}{EMPTY}]", "")
+    x = F.regexp_replace(F.regexp_replace(x, " +,", " ,"), ", +", ", ")
+    x = some(x, None, r"\.{2,}", ".")
+    x = some(x, r"\. *,", r"\. *,", ",")
+    x = some(x, "[一-鿿] ", "([一-鿿]) +([一-鿿])", "$1.$2")
     return F.trim(x)
 
 

@@ -61,15 +61,15 @@ def annotate_tokens(df: DataFrame, vocab: DataFrame, key: str, text: str, max_se
     keys should be unique. The vocabulary is joined (broadcast if small); one
     shuffle on the key.
     """
-    ids = vocab.where("token is not null and token <> ''").groupBy("token").agg(F.min("id").alias("token_id"))
-    # outer, as Spark would compute the text a second time to filter empty arrays; the join drops nulls
-    tokens = df.select(F.col(key), F.posexplode_outer(F.split(F.trim(F.col(text)), " +")).alias("_at", "token"))
-    known = tokens.join(ids, "token")
     tag = F.regexp_extract("token", r"^\[(\w+)\]$", 1)
     number = F.lit(None).cast("int")
     for s, n in STRUCTURES.items():
         number = F.when(tag == s, F.lit(n)).otherwise(number)
-    known = known.withColumn("_tag", number)
+    # what a token is comes with the vocabulary, so it isn't worked out for every token
+    ids = vocab.where("token is not null and token <> ''").groupBy("token").agg(F.min("id").alias("token_id")).withColumn("_tag", number)
+    # outer, as Spark would compute the text a second time to filter empty arrays; the join drops nulls
+    tokens = df.select(F.col(key), F.posexplode_outer(F.split(F.trim(F.col(text)), " +")).alias("_at", "token"))
+    known = tokens.join(ids, "token")
     w = Window.partitionBy(key).orderBy("_at")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     known = known.withColumn("pos", F.row_number().over(w) - 1).withColumn("_now", F.last("_tag", True).over(so_far)).withColumn("_island", F.count("_tag").over(so_far))
@@ -100,7 +100,8 @@ def merge_repeated(words: Column) -> Column:
 def blocks(x: Column, size: int) -> Column:
     """An array in blocks of size; the last may be shorter."""
     n = F.ceil(F.size(x) / F.lit(size)).cast("int")
-    return F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(x, i * size + 1, size))).otherwise(F.array().cast("array<array<double>>"))
+    none = F.slice(F.array(x), 1, 0)  # of the elements' own type
+    return F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(x, i * size + 1, size))).otherwise(none)
 
 
 def previous_blocks(b: Column, zero: Column) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import types as T
 
 from strophe.functions import chinese, english
 from strophe.operators import attributes, lexicons, lyrics, pinyin, sequences, unpack
+from strophe.plans import readings
 from strophe.plans.registry import Tables, query
+from strophe.session import spread
 from strophe.sources.records import RECORD
 
 #: Words of the English documents, as a lexicon would list them, and those of the notes.
@@ -33,7 +35,7 @@ def p3_found(t: Tables) -> DataFrame:
 
 @query(lyrics.CLEAN_SQL)
 def clean_lyrics(t: Tables) -> DataFrame:
-    return t.songs.select("row_id", lyrics.clean_lyrics(F.col("lyrics")).alias("lyrics"))
+    return spread(t.songs.select("row_id", "lyrics")).select("row_id", lyrics.clean_lyrics(F.col("lyrics")).alias("lyrics"))
 
 
 _TOKENS = r"""
@@ -50,13 +52,13 @@ _TOKENS = r"""
 
 @query(_TOKENS)
 def tokenize_structure(t: Tables) -> DataFrame:
-    return sequences.annotate_tokens(t.songs, t.vocab, "row_id", "lyrics")
+    return sequences.annotate_tokens(spread(t.songs.select("row_id", "lyrics")), t.vocab, "row_id", "lyrics")
 
 
-@query()
+@query(f"WITH songs AS (SELECT row_id, regexp_replace(lyrics, '([.,])', ' \\1 ', 'g') AS lyrics FROM ({lyrics.CLEAN_SQL})) {_TOKENS}")
 def lyrics_end_to_end(t: Tables) -> DataFrame:
     """The flagship: sheets cleaned, phoneme marks set apart, tokens numbered and annotated."""
-    clean = t.songs.select("row_id", F.regexp_replace(lyrics.clean_lyrics(F.col("lyrics")), r"([.,])", " $1 ").alias("lyrics"))
+    clean = spread(t.songs.select("row_id", "lyrics")).select("row_id", F.regexp_replace(lyrics.clean_lyrics(F.col("lyrics")), r"([.,])", " $1 ").alias("lyrics"))
     return sequences.annotate_tokens(clean, t.vocab, "row_id", "lyrics")
 
 
@@ -136,28 +138,28 @@ def script_segments(t: Tables) -> DataFrame:
     return rows.where("r is not null").select("doc_id", "seq", "r.script", "r.run")
 
 
-@query(rf"SELECT o_orderkey, {chinese.cardinal_sql('CAST(o_orderkey AS VARCHAR)')} AS words FROM orders")
+@query(rf"SELECT o_orderkey, {readings.cardinal_sql('CAST(o_orderkey AS VARCHAR)')} AS words FROM orders")
 def verbalize_cardinal(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.expr(chinese.cardinal_sql("CAST(o_orderkey AS STRING)")).alias("words"))
+    return t.orders.select("o_orderkey", chinese.cardinal_words(F.col("o_orderkey").cast("string")).alias("words"))
 
 
-@query(f"SELECT p_partkey, {chinese.digits_sql('CAST(p_partkey AS VARCHAR)')} AS digits, {chinese.digits_sql('CAST(p_partkey AS VARCHAR)', True)} AS telephone FROM part")
+@query(f"SELECT p_partkey, {readings.digits_sql('CAST(p_partkey AS VARCHAR)')} AS digits, {readings.digits_sql('CAST(p_partkey AS VARCHAR)', True)} AS telephone FROM part")
 def verbalize_digits(t: Tables) -> DataFrame:
-    x = "CAST(p_partkey AS STRING)"
-    return t.part.select("p_partkey", F.expr(chinese.digits_sql(x)).alias("digits"), F.expr(chinese.digits_sql(x, True)).alias("telephone"))
+    x = F.col("p_partkey").cast("string")
+    return t.part.select("p_partkey", chinese.digits_words(x).alias("digits"), chinese.digits_words(x, True).alias("telephone"))
 
 
 _CENTS = "CAST(CAST(round(p_retailprice * 100) AS BIGINT) {op} 100 AS {text})"
 
 
-@query(f"SELECT p_partkey, {chinese.number_sql('w', 'd')} AS words FROM (SELECT p_partkey, CAST(CAST(round(p_retailprice * 100) AS BIGINT) // 100 AS VARCHAR) AS w, lpad(CAST(CAST(round(p_retailprice * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0') AS d FROM part)")
+@query(f"SELECT p_partkey, {readings.number_sql('w', 'd')} AS words FROM (SELECT p_partkey, CAST(CAST(round(p_retailprice * 100) AS BIGINT) // 100 AS VARCHAR) AS w, lpad(CAST(CAST(round(p_retailprice * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0') AS d FROM part)")
 def num_to_words(t: Tables) -> DataFrame:
     cents = F.round(F.col("p_retailprice") * 100).cast("bigint")
     rows = t.part.select("p_partkey", F.floor(cents / 100).cast("bigint").cast("string").alias("w"), F.lpad((cents % 100).cast("string"), 2, "0").alias("d"))
-    return rows.select("p_partkey", F.expr(chinese.number_sql("w", "d")).alias("words"))
+    return rows.select("p_partkey", chinese.number_words(F.col("w"), F.col("d")).alias("words"))
 
 
-@query(f"""SELECT o_orderkey, {chinese.digits_sql("strftime(o_orderdate, '%Y')")} || '年' || {chinese.cardinal_sql("CAST(month(o_orderdate) AS VARCHAR)")} || '月' || {chinese.cardinal_sql("CAST(day(o_orderdate) AS VARCHAR)")} || '日' AS words FROM orders""")
+@query(f"""SELECT o_orderkey, {readings.digits_sql("strftime(o_orderdate, '%Y')")} || '年' || {readings.cardinal_sql("CAST(month(o_orderdate) AS VARCHAR)")} || '月' || {readings.cardinal_sql("CAST(day(o_orderdate) AS VARCHAR)")} || '日' AS words FROM orders""")
 def date_words(t: Tables) -> DataFrame:
     """Dates as read out, by the chain; the SQL composes them from their parts."""
     days = t.orders.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).distinct()
@@ -165,14 +167,14 @@ def date_words(t: Tables) -> DataFrame:
     return t.orders.withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd")).join(said, "day").select("o_orderkey", "words")
 
 
-@query(f"""SELECT event_id, {chinese.cardinal_sql("CAST(hour(ts) AS VARCHAR)")} || '点' || CASE WHEN minute(ts) = 0 THEN '' WHEN minute(ts) = 30 THEN '半' ELSE CASE WHEN minute(ts) < 10 THEN '零' ELSE '' END || {chinese.cardinal_sql("CAST(minute(ts) AS VARCHAR)")} || '分' END AS words FROM events""")
+@query(f"""SELECT event_id, {readings.cardinal_sql("CAST(hour(ts) AS VARCHAR)")} || '点' || CASE WHEN minute(ts) = 0 THEN '' WHEN minute(ts) = 30 THEN '半' ELSE CASE WHEN minute(ts) < 10 THEN '零' ELSE '' END || {readings.cardinal_sql("CAST(minute(ts) AS VARCHAR)")} || '分' END AS words FROM events""")
 def time_words(t: Tables) -> DataFrame:
     times = t.events.select(F.date_format("ts", "H:mm").alias("at")).distinct()
     said = times.select("at", F.get(chinese.normalise("at"), 0).alias("words"))
     return t.events.withColumn("at", F.date_format("ts", "H:mm")).join(said, "at").select("event_id", "words")
 
 
-@query(f"SELECT DISTINCT k, '百分之' || {chinese.cardinal_sql('CAST(k AS VARCHAR)')} AS percent, {chinese.cardinal_sql('CAST(k + 1 AS VARCHAR)')} || '分之' || {chinese.cardinal_sql('CAST(k AS VARCHAR)')} AS fraction, '零下' || {chinese.cardinal_sql('CAST(k AS VARCHAR)')} || '度' AS cold, {chinese.cardinal_sql('CAST(k AS VARCHAR)')} || '个' AS many FROM (SELECT CAST(l_quantity AS BIGINT) AS k FROM lineitem)")
+@query(f"SELECT DISTINCT k, '百分之' || {readings.cardinal_sql('CAST(k AS VARCHAR)')} AS percent, {readings.cardinal_sql('CAST(k + 1 AS VARCHAR)')} || '分之' || {readings.cardinal_sql('CAST(k AS VARCHAR)')} AS fraction, '零下' || {readings.cardinal_sql('CAST(k AS VARCHAR)')} || '度' AS cold, {readings.cardinal_sql('CAST(k AS VARCHAR)')} || '个' AS many FROM (SELECT CAST(l_quantity AS BIGINT) AS k FROM lineitem)")
 def quantity_words(t: Tables) -> DataFrame:
     k = t.lineitem.select(F.col("l_quantity").cast("bigint").alias("k")).distinct()
     said = lambda x: F.get(chinese.normalise(x), 0)

@@ -95,30 +95,36 @@ def test_arrivals(spark, tmp_path):
     assert [(r.source, r.n) for r in spark.table("arrived").collect()] == [("a", 3)]
 
 
-def test_tone_rules():
-    assert tones.bu("看不懂", ["an4", "u4", "ong3"]) == ["an4", "u5", "ong3"]
-    assert tones.bu("不怕", ["u4", "a4"]) == ["u2", "a4"]
-    assert tones.yi("看一看", ["an4", "i1", "an4"]) == ["an4", "i5", "an4"]
-    assert tones.yi("一段", ["i1", "uan4"]) == ["i2", "uan4"]
-    assert tones.yi("一天", ["i1", "ian1"]) == ["i4", "ian1"]
-    assert tones.yi("第一", ["i4", "i1"]) == ["i4", "i1"]
-    assert tones.yi("一零零", ["i1", "ing2", "ing2"]) == ["i1", "ing2", "ing2"]
-    assert tones.third("老虎", ["ao3", "u3"], 1) == ["ao2", "u3"]
-    assert tones.third("蒙古包", ["eng3", "u3", "ao1"], 2) == ["eng2", "u3", "ao1"]
-    assert tones.neutral("奶奶", "n", ["ai3", "ai3"], frozenset(), frozenset()) == ["ai3", "ai5"]
-
-
-def test_merges():
-    assert tones.merge_bu([("不", "d"), ("去", "v"), ("不", "d")]) == [("不去", "v"), ("不", "d")]
-    assert tones.merge_same([("A", "x")] * 3) == [("AA", "x"), ("A", "x")]
-    assert tones.merge_yi([("听", "v"), ("一", "m"), ("听", "v")]) == [("听一听", "v")]
-    assert tones.merge_er([("花", "n"), ("儿", "r")]) == [("花儿", "n")]
-    assert tones.merge([("好", "a"), ("好", "a"), ("不", "d")], {}) == [("好好", "a"), ("不", "d")]
-
-
-def test_merged_words(spark):
-    df = spark.createDataFrame([(1, ["不", "去"], ["d", "v"], [["u4"], ["v4"]]), (2, None, None, None)], "k bigint, words array<string>, tags array<string>, finals array<array<string>>")
-    assert {r.k: [tuple(x) for x in r.merged] for r in tones.merged_words(df, "k").collect()} == {1: [("不去", "v")], 2: []}
+#: Words with their tags, finals and splits, and the finals as they are spoken.
+SPOKEN = [
+    ("看不懂", "v", "an4 u4 ong3", 2, "an4 u5 ong3"), ("不怕", "v", "u4 a4", 1, "u2 a4"), ("不好", "a", "u4 ao3", 1, "u4 ao3"),
+    ("看一看", "v", "an4 i1 an4", 1, "an4 i5 an4"), ("一段", "m", "i1 uan4", 1, "i2 uan4"), ("一天", "m", "i1 ian1", 1, "i4 ian1"), ("第一", "m", "i4 i1", 1, "i4 i1"), ("一零零", "m", "i1 ing2 ing2", 1, "i1 ing2 ing2"), ("一，", "m", "i1 ，", 1, "i1 ，"),
+    ("奶奶", "n", "ai3 ai3", 1, "ai3 ai5"), ("哈哈", "n", "a1 a1", 1, "a1 a5"), ("量子", "n", "iang4 i3", 1, "iang4 i3"), ("桌子", "n", "uo1 i3", 1, "uo1 i5"), ("好哈", "y", "ao3 a1", 1, "ao3 a5"), ("家里", "s", "ia1 i3", 1, "ia1 i5"), ("上来", "v", "ang4 ai2", 1, "ang4 ai5"), ("了", "ul", "e4", 1, "e5"), ("三个", "m", "an1 e4", 1, "an1 e5"), ("麻烦", "a", "a2 an2", 2, "a2 an5"), ("闹麻烦了", "v", "ao4 a2 an2 e4", 1, "ao4 a2 an2 e4"), ("闹麻烦", "v", "ao4 a2 an2", 1, "ao4 a2 an5"),
+    ("老虎", "n", "ao3 u3", 1, "ao2 u3"), ("蒙古包", "n", "eng3 u3 ao1", 2, "eng2 u3 ao1"), ("展览馆", "n", "an3 an3 uan3", 2, "an2 an2 uan3"), ("纸老虎", "n", "i3 ao3 u3", 1, "i3 ao2 u3"), ("好喜欢", "v", "ao3 i3 uan1", 1, "ao2 i3 uan1"), ("岂有此理", "i", "i3 ou3 i3 i3", 2, "i2 ou3 i2 i3"),
+]
+
+
+def test_tone_rules(spark):
+    df = spark.createDataFrame([(*r[:2], r[2].split(" "), r[3]) for r in SPOKEN] + [(None, "n", ["a1"], 1), ("", "x", [], 0)], "w string, p string, f array<string>, s int")
+    got = [r.x for r in df.coalesce(1).select(tones.spoken(F.col("w"), F.col("p"), F.col("f"), F.col("s"), ["麻烦"]).alias("x")).collect()]
+    assert [" ".join(x) for x in got[:-2]] == [r[4] for r in SPOKEN] and got[-2:] == [None, []]
+
+
+#: Sentences (word/tag/finals) and their words after the merges.
+MERGED = [
+    ("不/d/u4 去/v/v4 不/d/u4", "不去/v 不/d"), ("不/d/u4 不/d/u4 去/v/v4", "不不/d 去/v"), ("A/x/a1 A/x/a1 A/x/a1", "AA/x A/x"),
+    ("听/v/ing1 一/m/i1 听/v/ing1", "听一听/v"), ("看/v/an4 一/m/i1 看/n/an4", "看/v 一看/m"), ("看/n/an4 一/m/i1 看/v/an4 书/n/u1", "看/n 一书/m"),
+    ("看/v/an4 一/m/i1 看/v/an4 听/v/ing1 一/m/i1 听/v/ing1", "看/v 一/m 看/v 听/v 一/m 听/v"),  # the second merge fails, so the step leaves all as it is
+    ("花/n/ua1 儿/r/er2", "花儿/n"), ("我/r/uo3 很/d/en3 好/a/ao3", "我很好/r"), ("小/a/iao3 雨伞/n/v3,an3", "小雨伞/a"), ("好好/a/ao3,ao3 想/v/iang3", "好好/a 想/v"), ("买/v/ai3 苹/n/", "买/v 苹/n"),
+]
+
+
+def test_merges(spark):
+    words = [[w.split("/") for w in s.split(" ")] for s, _ in MERGED]
+    rows = [(i, [w[0] for w in s], [w[1] for w in s], [w[2].split(",") if w[2] else None for w in s]) for i, s in enumerate(words)]
+    df = spark.createDataFrame([*rows, (99, None, None, None), (100, [], [], [])], "k int, words array<string>, tags array<string>, finals array<array<string>>")
+    got = {r.k: " ".join(f"{x.word}/{x.pos}" for x in r.merged) for r in tones.merged_words(df, "k").collect()}
+    assert got == {i: want for i, (_, want) in enumerate(MERGED)} | {99: "", 100: ""}
 
 
 def test_syllables(spark):
