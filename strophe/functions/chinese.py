@@ -23,8 +23,12 @@ UNITS = {
 }
 # Signs of arithmetic.
 SIGNS = {"+": "加", "-": "减", "×": "乘", "÷": "除", "=": "等于"}
-# Usual measure words; a parameter of the chain.
-MEASURES = "分钟 小时 毫米 厘米 分米 千米 公里 公斤 千克 毫克 毫升 平方米 立方米 个 只 条 张 本 首 支 位 名 家 座 间 棵 朵 颗 粒 块 片 杯 瓶 碗 盘 箱 袋 双 对 套 件 辆 架 艘 台 部 层 页 段 句 字 次 回 遍 场 阵 天 年 月 日 号 周 季 岁 时 刻 分 秒 点 元 角 米 克 升 斤 两 吨 里 尺 寸 度 人 口 头 匹 根 把 扇 面 户 亿 万 千 百".split()
+# Measure words behind a number; a parameter of the chain.
+MEASURES = (
+    "封 艘 把 目 套 段 人 所 朵 匹 张 座 回 场 尾 条 个 首 阙 阵 网 炮 顶 丘 棵 只 支 袭 辆 挑 担 颗 壳 窠 曲 墙 群 腔 砣 客 贯 扎 捆 刀 令 打 手 罗 坡 山 岭 江 溪 钟 队 单 双 对 出 口 头 脚 板 跳 枝 件 贴 针 线 管 名 位 身 堂 课 本 页 家 户 层 "
+    "丝 毫 厘 分 钱 两 斤 铢 石 钧 锱 忽 千克 毫克 微克 公分 寸 尺 丈 里 寻 常 铺 程 千米 分米 厘米 毫米 微米 米 撮 勺 合 升 斗 盘 碗 碟 叠 桶 笼 盆 盒 杯 斛 锅 簋 篮 罐 瓶 壶 卮 盏 箩 箱 煲 啖 袋 钵 "
+    "年 月 日 季 刻 时 周 天 秒 小时 旬 纪 岁 世 更 夜 春 夏 秋 冬 代 伏 辈 丸 泡 粒 幢 堆 根 道 面 片 块 元 亿 千万 百万 万 千 百 美元 亿吨 千万吨 百万吨 万吨 千吨 百吨 十吨 角 毛"
+).split()
 # Greek letters as they are said.
 GREEK = {
     "α": "阿尔法", "β": "贝塔", "γΓ": "伽玛", "δΔ": "德尔塔", "ε": "艾普西龙", "ζ": "捷塔", "η": "依塔", "θΘ": "西塔", "ι": "艾欧塔", "κ": "喀帕", "λΛ": "拉姆达",
@@ -189,13 +193,13 @@ def rules(measures: list[str] = MEASURES) -> list[tuple[re.Pattern | None, Calla
     ]
 
 
-_HALF = str.maketrans({0xFF00 + c - 0x20: chr(c) for c in range(0x30, 0x7B) if chr(c).isalnum()})
+_HALF = str.maketrans({0xFF00 + c - 0x20: chr(c) for c in range(0x30, 0x7B) if chr(c).isalnum()} | {0x3000: " "})
 _RULES = rules()
 
 
-def normalise_sentence(x: str, steps: list | None = None) -> str:
-    """Letters and digits to half width (nothing else), then every step in order."""
-    x = x.translate(_HALF)
+def normalise_sentence(x: str, steps: list | None = None, simple: dict[int, str] | None = None) -> str:
+    """Traditional characters to simplified ones by a table, letters, digits and blanks to half width (no other signs), then every step in order."""
+    x = x.translate(simple or {}).translate(_HALF)
     for rule, said in steps or _RULES:
         x = rule.sub(said, x) if rule else said(x)
     return x
@@ -207,10 +211,24 @@ def sentences(x: str) -> list[str]:
     return [s.strip() for s in re.split(r"\n+", re.sub(r"([：、，；。？！,;?!][”’]?)", r"\1\n", x).strip())]
 
 
-@pandas_udf(ArrayType(StringType()))
-def normalise(text: pd.Series) -> pd.Series:
-    """The normalised sentences of a text; null for null."""
-    return pd.Series([None if t is None else [normalise_sentence(s) for s in sentences(t)] for t in text], dtype=object)
+def normaliser(pairs: list[tuple[str, str]] | tuple[()] = (), measures: list[str] = MEASURES) -> Callable[..., Column]:
+    """A function of a text column that gives its normalised sentences, null for null. pairs: traditional and simplified characters, of repeated ones the last counts; measures: words that may stand behind a number."""
+    simple = {ord(a): b for a, b in pairs}
+
+    @pandas_udf(ArrayType(StringType()))
+    def normalised(text: pd.Series) -> pd.Series:
+        steps = _RULES if measures is MEASURES else rules(measures)
+        return pd.Series([None if t is None else [normalise_sentence(s, steps, simple) for s in sentences(t)] for t in text], dtype=object)
+
+    return normalised
+
+
+normalise = normaliser()
+
+
+def spoken_text(text: Column, normalised: Callable[..., Column] = normalise) -> Column:
+    """A text as the phoneme stage takes it: its normalised sentences, with the punctuation of that stage, in one."""
+    return F.array_join(F.transform(normalised(text), phoneme_punctuation), "")
 
 
 # ---- native steps ----

@@ -189,3 +189,58 @@ def table_row(table: Column, position: Column, scale: float) -> Column:
     """A row of an embedding table, scaled; a position beyond it is an error."""
     row = F.get(table, position)
     return F.transform(F.coalesce(row, F.raise_error(F.lit("a position beyond the table")).cast("array<double>")), lambda e: e * scale)
+
+
+def masked(x: Column, mask: Column) -> Column:
+    """x with zeros where the mask is 0."""
+    return F.zip_with(x, mask, lambda e, m: e * m)
+
+
+def mean_kernel(xs: Column, ys: Column) -> Column:
+    """The mean over all pairs of vectors of exp(-mean squared difference / dimension)."""
+    dim = F.size(F.get(xs, 0))
+    row = lambda x: total(F.transform(ys, lambda y: F.exp(-distance2(x, y) / dim / dim)))
+    return total(F.transform(xs, row)) / (F.size(xs) * F.size(ys))
+
+
+def discrepancy(xs: Column, ys: Column) -> Column:
+    """Maximum mean discrepancy of two samples of vectors (arrays of bounded size), by mean_kernel."""
+    return mean_kernel(xs, xs) + mean_kernel(ys, ys) - 2 * mean_kernel(xs, ys)
+
+
+def rotary_angles(position: Column, dim: int, base: float = 10000.0, interpolation: float = 1.0, rescale: float = 1.0) -> Column:
+    """The angles of rotary for a position, each frequency twice; interpolation (at least 1) squeezes positions, rescale stretches the base."""
+    if interpolation < 1:
+        raise ValueError(f"interpolation {interpolation} is below 1")
+    half, b = dim // 2, base * rescale ** (dim / (dim - 2))
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: position / interpolation * F.pow(F.lit(b), -(F.pmod(i, F.lit(half)) * 2.0 / dim)))
+
+
+def rotary_scale(position: Column, length: Column, dim: int, scale_base: float = 512.0) -> Column:
+    """The scales by which rotary with decay multiplies queries (and divides keys) at a position of a sequence; 1 at its middle."""
+    half = dim // 2
+    power = (position - F.floor(length / F.lit(2))) / scale_base
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.pow((F.pmod(i, F.lit(half)) * 2 + 0.4 * dim) / (1.4 * dim), power))
+
+
+def low_discrepancy(i: Column) -> Column:
+    """The i-th number of a sequence that fills [0, 1) evenly: the bits of i behind the point, in reverse."""
+    return F.conv(F.reverse(F.lpad(F.bin(i), 32, "0")), 2, 10).cast("double") / 2**32
+
+
+def logit_normal(z: Column) -> Column:
+    """A standard normal number as a time in (0, 1)."""
+    return 1 / (1 + F.exp(-z))
+
+
+def embedded(tables: list[Column], ids: list[Column], how: str = "sum") -> Column:
+    """Rows of embedding tables (arrays of arrays) by their ids, added up or one behind the other; an id beyond its table is an error."""
+    rows = [F.coalesce(F.get(t, i), F.raise_error(F.lit("an id beyond the table")).cast("array<double>")) for t, i in zip(tables, ids)]
+    if how == "concat":
+        return F.concat(*rows)
+    if how != "sum":
+        raise ValueError(f"unknown way to embed: {how}")
+    out = rows[0]
+    for r in rows[1:]:
+        out = F.zip_with(out, r, lambda a, b: a + b)
+    return out

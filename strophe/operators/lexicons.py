@@ -1,5 +1,7 @@
 """Lexicons as tables: reading, combining, and looking words up."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,3 +89,11 @@ def hash_bucket(word: Column, size: int) -> Column:
     """SHA-256 of the word as a number, modulo size (less than 2**27)."""
     digits = F.split(F.sha2(word, 256), "")
     return F.aggregate(digits, F.lit(0).cast("bigint"), lambda a, d: F.when(d == "", a).otherwise((a * 16 + F.conv(d, 16, 10).cast("bigint")) % size))
+
+
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The lexicon at a path (Parquet); built and written there first if there is none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -88,3 +88,21 @@ def durations(df: DataFrame, key: str, order: str, start: str, end: str, resolut
     w = Window.partitionBy(key).orderBy(order)
     n = (F.col(end) / resolution).cast("int") - (F.col(start) / resolution).cast("int")
     return df.withColumn("frames", n - F.when(F.lead(F.lit(1)).over(w).isNull(), 0).otherwise(1))
+
+
+def stretched_section(tokens: Column, start: Column, end: Column, resolution: float, last: Column, separator: Column) -> Column:
+    """A section's tokens stretched to the steps of its duration (nearest, exact), less the separator that follows unless it is the last; a section without tokens or steps is an error."""
+    from strophe.operators.sequences import stretch
+
+    n = F.floor(end / resolution).cast("int") - F.floor(start / resolution).cast("int") - F.when(last, 0).otherwise(1)
+    some = F.when((F.size(tokens) > 0) & (n > 0), stretch(tokens, n)).otherwise(F.raise_error(F.lit("a section without tokens or steps")))
+    return F.when(last, some).otherwise(F.concat(some, F.array(separator)))
+
+
+def stretched(df: DataFrame, key: str, order: str, tokens: str, start: str, end: str, resolution: float, separator: Column) -> DataFrame:
+    """(key, tokens): the sections of a sheet, each stretched to its duration, a separator between. A sheet is a row; one shuffle, on the key."""
+    w = Window.partitionBy(key).orderBy(order)
+    last = F.lead(F.lit(1)).over(w).isNull()
+    rows = df.withColumn("_last", last).select(key, order, stretched_section(F.col(tokens), F.col(start), F.col(end), resolution, F.col("_last"), separator).alias("t"))
+    kept = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "t"))).alias("s"))
+    return kept.select(key, F.flatten("s.t").alias(tokens))

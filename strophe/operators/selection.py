@@ -47,10 +47,13 @@ def choose(df: DataFrame, group: list[str], logit: str, token: str, temperature:
     return top_k(p, group, "p", k) if k > 0 else p
 
 
-def repetition_window(df: DataFrame, group: str, pos: str, token: str, size: int = 50) -> DataFrame:
-    """df with pool, the distinct tokens among the size rows before each row of its group, in order."""
+def repetition_window(df: DataFrame, group: str, pos: str, token: str, size: int = 50, eos: int | None = None) -> DataFrame:
+    """df with pool, the distinct tokens among the size rows before each row of its group, in order; with eos, rows that aren't there yet count as eos."""
     w = Window.partitionBy(group).orderBy(pos).rowsBetween(-size, -1)
-    return df.withColumn("pool", F.array_sort(F.collect_set(token).over(w)))
+    pool = F.collect_set(token).over(w)
+    if eos is not None:
+        pool = F.when(F.count(F.lit(1)).over(w) < size, F.array_union(pool, F.array(F.lit(eos)))).otherwise(pool)
+    return df.withColumn("pool", F.array_sort(pool))
 
 
 def penalised(logit: Column, token: Column, pool: Column, eos: int, penalty: float = 1.1) -> Column:

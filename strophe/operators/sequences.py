@@ -195,3 +195,37 @@ def split_word(word: Column, parts: Column) -> Column:
     short = F.get(F.array_sort(F.transform(parts, lambda p, i: F.struct(F.length(p).alias("n"), i.alias("i"), p.alias("p")))), 0)["p"]
     at = F.instr(word, short)
     return F.when(at == 1, F.array(short, F.substring(word, F.length(short) + 1, F.length(word)))).otherwise(F.array(F.substring(word, F.lit(1), F.length(word) - F.length(short)), short))
+
+
+def zipped(*arrays: Column) -> Column:
+    """Arrays element by element, as long as the shortest."""
+    return F.slice(F.arrays_zip(*arrays), F.lit(1), F.least(*(F.size(a) for a in arrays)) if len(arrays) > 1 else F.size(arrays[0]))
+
+
+def _starts(n: Column, size: int, overlap: int) -> Column:
+    hop = size - overlap
+    regular = F.sequence(F.lit(0), n - size, F.lit(hop))
+    return F.when((n - size) % hop == 0, regular).otherwise(F.concat(regular, F.array(n - size)))
+
+
+def split_chunks(x: Column, size: int, overlap: int) -> Column:
+    """x as overlapping chunks of size, the last one right-aligned, each with its start; less than a chunk is an error."""
+    cut = let(x, lambda y: F.transform(_starts(F.size(y), size, overlap), lambda s: F.struct(s.alias("start"), F.slice(y, s + 1, F.lit(size)).alias("values"))))
+    return F.when(F.size(x) >= size, cut).otherwise(F.raise_error(F.concat(F.size(x).cast("string"), F.lit(f" steps are less than a chunk of {size}"))))
+
+
+def stitched(chunks: Column, overlap: int) -> Column:
+    """One array of chunks (as split_chunks gives them, their values changed at will but not in number): half of each overlap is cut from inner edges, and what still meets is the later chunk's."""
+    half = overlap // 2
+
+    def part(c: Column, i: Column) -> Column:
+        first = F.when(i == 0, 0).otherwise(half)
+        until = F.when(i + 1 < F.size(chunks), F.get(chunks, i + 1)["start"] + half - c["start"]).otherwise(F.size(c["values"]))
+        return F.slice(c["values"], first + 1, until - first)
+
+    return F.flatten(F.transform(chunks, part))
+
+
+def pad_rows(x: Column, width: int, blank: Column) -> Column:
+    """[rows, mask]: an array of vectors cut or filled with the blank vector to width, and 1 for the rows it had, else 0."""
+    return F.struct(pad(x, width, blank).alias("rows"), mask(F.size(x), width).alias("mask"))

@@ -1,6 +1,6 @@
 """The queries of the core operators, and their SQL."""
 
-from strophe.plans import arrays, baseline, text  # noqa: F401  (they register their queries)
+from strophe.plans import arrays, baseline, pipelines, text  # noqa: F401  (they register their queries)
 from strophe.plans.registry import ORACLE, QUERIES, Query
 
 

@@ -81,7 +81,7 @@ def oov_anti_tokens(t: Tables) -> DataFrame:
 
 @query("SELECT DISTINCT token FROM (SELECT token FROM vocab UNION ALL SELECT term FROM flag_terms UNION ALL SELECT unnest(['[pad]', '.', ',']))")
 def vocab_union_distinct(t: Tables) -> DataFrame:
-    marks = t.vocab.limit(1).select(F.explode(F.array(*map(F.lit, ("[pad]", ".", ",")))).alias("token"))
+    marks = t.spark.createDataFrame([("[pad]",), (".",), (",",)], "token string")
     return t.vocab.select("token").union(t.flag_terms.select("term")).union(marks).distinct()
 
 
@@ -250,14 +250,16 @@ def required_fields(t: Tables) -> DataFrame:
     return t.songs.select("row_id", "idx", (F.col("lyrics").isNotNull() & F.col("prompt_wav").isNotNull() & F.col("idx").isNotNull()).alias("complete"))
 
 
-@query("SELECT doc_id, strip_accents(text) AS text FROM documents WHERE lang IN ('de', 'es', 'fr')")
+@query("SELECT doc_id, strip_accents(text) AS text FROM documents")
 def strip_accents(t: Tables) -> DataFrame:
-    return t.documents.where("lang in ('de', 'es', 'fr')").select("doc_id", english.strip_accents("text").alias("text"))
+    return t.documents.select("doc_id", english.strip_accents("text").alias("text"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(translate(strip_accents(text), ';:，；：。！？’', ',,,,,.!?'''), '[^ A-Za-z''.,?!\-]', '', 'g'), '(?i)i\.e\.', 'that is', 'g'), '(?i)e\.g\.', 'for example', 'g') AS text FROM documents WHERE lang = 'en'")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(translate(strip_accents(regexp_replace(text, '[0-9]', '', 'g')), ';:，；：。！？’"', ',,,,,.!?'''''), '[^ A-Za-z''.,?!\-]', '', 'g'), '(?i)i\.e\.', 'that is', 'g'), '(?i)e\.g\.', 'for example', 'g') AS text FROM documents""")
 def normalise_english(t: Tables) -> DataFrame:
-    return t.documents.where("lang = 'en'").select("doc_id", english.normalise_english(english.strip_accents("text")).alias("text"))
+    """Without digits here, as SQL can't say numbers; english_numbers has them."""
+    bare = t.documents.select("doc_id", F.regexp_replace("text", "[0-9]", "").alias("text"))
+    return bare.select("doc_id", english.normalise_english(english.strip_accents("text")).alias("text"))
 
 
 @query("""SELECT w.word, coalesce(CASE WHEN upper(w.word) = 'A' THEN 'EY1' END, n.phones, g.phones) AS phones FROM (""" + _WORDS.format(kind="lyric") + ") w LEFT JOIN (" + _entries("note", "N_") + ") n ON w.word = n.word LEFT JOIN (" + _entries("guide", "G_") + ") g ON w.word = g.word AND n.word IS NULL")
@@ -305,10 +307,10 @@ def syllable_spelling(t: Tables) -> DataFrame:
 
 
 @query(r"""SELECT doc_id, string_agg(CASE WHEN regexp_matches(run, '^[一-龥]') THEN '<zh>' || length(run) WHEN regexp_matches(run, '^[,.!?…\-]$') THEN run ELSE 'en:' || trim(run) END, '|' ORDER BY k) AS said
-    FROM (SELECT doc_id, unnest(rs) AS run, generate_subscripts(rs, 1) AS k FROM (SELECT doc_id, regexp_extract_all(replace(text, chr(10), '.'), '[一-龥]+|[,.!?…\-]|[^一-龥,.!?…\-]+') AS rs FROM documents WHERE lang = 'zh')) GROUP BY doc_id""".replace("'en:' || trim(run)", "'en:' || length(run)"))
+    FROM (SELECT doc_id, unnest(rs) AS run, generate_subscripts(rs, 1) AS k FROM (SELECT doc_id, regexp_extract_all(replace(text, chr(10), '.'), '[一-龥]+|[,.!?…\-]|[^一-龥,.!?…\-]+') AS rs FROM documents WHERE text IS NOT NULL)) GROUP BY doc_id""".replace("'en:' || trim(run)", "'en:' || length(run)"))
 def mixed_dispatch(t: Tables) -> DataFrame:
     """Runs of mixed text, each said by the function of its script, in order."""
-    rows = t.documents.where("lang = 'zh'").select("doc_id", F.posexplode(sequences.script_runs(F.col("text"))).alias("seq", "r")).select("doc_id", "seq", "r.script", "r.run")
+    rows = t.documents.where("text is not null").select("doc_id", F.posexplode(sequences.script_runs(F.col("text"))).alias("seq", "r")).select("doc_id", "seq", "r.script", "r.run")
     said = {"zh": F.array(F.concat(F.lit("<zh>"), F.length("run").cast("string"))), "en": F.array(F.concat(F.lit("en:"), F.length("run").cast("string")))}
     return pinyin.by_language(rows, "doc_id", "seq", "script", "run", said).select("doc_id", F.array_join("phones", "|").alias("said"))
 
