@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from strophe.functions.characters import BLANKS as WIDE_BLANKS
 from strophe.functions.characters import TAGS, plain_tags
+from strophe.session import ship
 
 # The tags of vocal sections.
 VOCAL = ("verse", "chorus", "bridge")
@@ -209,6 +210,7 @@ def unpack(df: DataFrame, key: str, text: str, pos: str = "pos", line: str = "li
     repeated rows give repeated lines; other columns of df are left out. No
     shuffle: a text is scanned where it is read, in pieces of CHUNK bytes.
     """
+    ship(df.sparkSession)
     src = df.select(F.col(key).alias("k"), plain_tags(F.col(text)).alias("t")).where("t is not null")
     kind = src.schema["k"].dataType.simpleString()
     return src.mapInArrow(_unpack, f"k {kind}, pos int, line string").select(F.col("k").alias(key), F.col("pos").alias(pos), F.col("line").alias(line))
