@@ -20,6 +20,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strophe.session import ship
+
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the pattern of pieces that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -130,6 +132,7 @@ class Vocabulary:
 
 def load(spark: SparkSession, name: str = "byte_bpe_50k", directory: str = TOKENIZERS) -> Broadcast:
     """The ranks of a vocabulary file (half a megabyte), broadcast."""
+    ship(spark)
     with open(f"{directory}/{name}.tiktoken", "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 

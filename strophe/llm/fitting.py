@@ -1,8 +1,9 @@
-"""Bounded samples that models are fitted on."""
+"""Bounded samples that models are fitted on, and fitted models kept for later queries."""
 
 import math
+import pickle
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Standard deviations by which the first cut goes beyond the wanted number of rows.
 MARGIN = 6
@@ -28,3 +29,13 @@ def smallest(df: DataFrame, hashed: Column, n: int) -> DataFrame:
         if len(cut) >= n:
             return rows.where(hashed <= cut[n - 1])
         share *= 4  # hashes that many rows share
+
+
+def save(spark: SparkSession, model: object, path: str) -> None:
+    """A fitted model as a table of one row at path, on any file system that Spark writes to; what is there is replaced."""
+    spark.createDataFrame([(bytearray(pickle.dumps(model)),)], "model binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> object:
+    """The model that `save` wrote to path. Load only what you trust: it is a pickle."""
+    return pickle.loads(bytes(spark.read.parquet(path).first().model))

@@ -21,7 +21,7 @@ from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from strophe.functions.characters import FOLDED_TAG, GREEK, GREEK_AS, DIRTY_PY, LATIN, TO_CYRILLIC, TO_GREEK, dirty, fold, has_words
-from strophe.session import stage
+from strophe.session import ship, stage
 
 #: Letters of one script with no twin in another decide a token's script.
 FOREIGN = re.compile("[\u0251\u0261\u0370-\u03ff\u0400-\u052f\u1f00-\u1fff]")
@@ -111,6 +111,7 @@ def _skeleton_udf(s: pd.Series) -> pd.Series:
 
 def skeletons(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the skeleton of a text column as out; clean texts never leave the JVM. Null stays null."""
+    ship(df.sparkSession)
     return df.withColumn(out, F.coalesce(_skeleton_udf(F.when(dirty(F.col(text)), F.col(text))), F.col(text)))
 
 
@@ -127,6 +128,7 @@ def repair(df: DataFrame, key: str = "row_id", text: str = "lyrics") -> DataFram
     The vocabulary is an aggregate with a map-side combine; the only text that is
     shuffled is that of rows with a rejected proposal.
     """
+    ship(df.sparkSession)
     src = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null")
     bad = stage(src.where(dirty(F.col("t"))).select("k", "t", _mark_udf("t").alias("m")), "marked")
     proposal = f"{OPEN}([^{MID}]*){MID}([^{CLOSE}]*){CLOSE}"

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from strophe.functions.characters import FOLDED_TAG, TAGS, has_words
 from strophe.llm.lookalike import skeleton
-from strophe.session import stage, unstage
+from strophe.session import ship, stage, unstage
 
 #: At a similarity of 0.5 a pair is missed with probability 0.875 ** 140, which is less than 1 in 10^8; at 0.6, 3 in 10^15.
 BLOCKS, MINIMA = 140, 3
@@ -164,6 +164,7 @@ def _shingles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def classes(df: DataFrame, key: str, text: str) -> DataFrame:
     """(k, g1, g2, w, sig, bits, u): each text of three words or more with the hashes of its letters and of its words, its fingerprint and a number; staged."""
+    ship(df.sparkSession)
     src = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & has_words(F.col("t")))
     found = src.mapInArrow(_fingerprints, "k bigint, g1 bigint, g2 bigint, w bigint, sig array<int>, " + ", ".join(f"{x} bigint" for x in _BITS))
     return stage(found.withColumn("u", F.monotonically_increasing_id()), "fingerprints")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from strophe.functions.characters import DIRTY_PY
 from strophe.llm.fitting import smallest
 from strophe.llm.lookalike import skeleton
+from strophe.session import ship
 
 GRADES = (1, 2, 3, 4, 5)
 #: Weight of a grade's own words against those of all grades (Jelinek-Mercer smoothing).
@@ -73,6 +74,7 @@ def fit(labelled: DataFrame, text: str = "text", grade: str = "grade", key: str
     Words are counted where the texts are and added up over all tasks; the driver
     gets the counts of the words of at most FIT_DOCUMENTS documents.
     """
+    ship(labelled.sparkSession)
     rows = labelled.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(grade).cast("int").alias("g"), F.col(text).alias("t"), F.xxhash64(F.lit(5), key, text).alias("h")).where(F.col("g").isin(*GRADES))
     rows = smallest(rows, F.col("h"), FIT_DOCUMENTS).select("g", "t")
     counts = rows.mapInArrow(_words, "g int, w string, n bigint").groupBy("g", "w").agg(F.sum("n").alias("n")).collect()

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strophe.llm import abuse, bpe, dedup, fitting, lookalike, neardup, packing, reading
+from strophe.llm import abuse, bpe, dedup, fitting, langid, lookalike, neardup, packing, reading
 from strophe.session import stage, unstage
 from tests.llm.test_lookalike import brute, corpus, songs
 
@@ -22,6 +22,18 @@ def test_smallest(spark):
     assert fitting.smallest(df.withColumn("h", F.lit(1).cast("bigint")), F.col("h"), 3).count() == 5000  # equal hashes stay together
 
 
+def test_models_are_kept(spark, tmp_path):
+    texts = ["[verse] you rotten loser", "[verse] the river bends", "[verse] a lantern for the river", "[verse] you are a loser"] * 5
+    for i, (model, judge) in enumerate([
+        (abuse.learn(texts, np.array([True, False, False, True] * 5), [("loser", "insult")]), lambda m: m.scores(texts).tolist()),
+        (reading.Models([(1, "cat", 3), (5, "endures", 2)], {1: 1, 5: 1}), lambda m: m.grade("cat endures cat")),
+        (langid.Network(), lambda m: m.scores(langid.windows([b"hello there"])).tolist()),
+    ]):
+        want = judge(model)
+        fitting.save(spark, model, str(tmp_path / str(i)))
+        assert judge(fitting.load(spark, str(tmp_path / str(i)))) == want
+
+
 def test_unstage(spark):
     df = stage(spark.range(3), "x")
     assert df.count() == 3
