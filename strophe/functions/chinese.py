@@ -40,6 +40,7 @@ LANDLINE = r"(?<!\d)(?:0(?:10|2[1-3]|[3-9]\d{2})-?)?[1-9]\d{6,7}(?!\d)"
 SERVICE = r"400-?\d{3}-?\d{4}"
 # Punctuation of the phoneme stage.
 PUNCTUATION = {"...": "…", "：": ",", "；": ",", "，": ",", "·": ",", "、": ",", "/": ",", "。": ".", "\n": ".", "$": ".", "！": "!", "？": "?", "—": "-", "~": "…", "～": "…"}
+# Marks that the phoneme stage keeps, circled numbers, and signs that are dropped from sentences.
 KEPT = "!?…,.-"
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩"
 DROPPED = r"[——《》【】<>{}()（）#&@“”^_|\\]"
@@ -141,6 +142,7 @@ def post_replace(x: str) -> str:
     return x.translate(_AFTER)
 
 
+# Forms of a number, a time and a unit.
 _N = r"-?\d+(?:\.\d+)?"
 _T = r"([01]?\d|2[0-3]):([0-5]\d)(?::([0-5]\d))?"
 _U = "%|°C|℃|度|摄氏度|" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
@@ -165,7 +167,7 @@ def _ymd(m: re.Match) -> str:
 
 
 def rules(measures: list[str] = MEASURES) -> list[tuple[re.Pattern | None, Callable]]:
-    """The steps in their order: a pattern with what each match becomes, or None with a function of the whole."""
+    """The steps in their order: a pattern with what each match becomes, or None with a function of the whole. Patterns and order are fixed values."""
     many = "|".join(sorted(measures, key=lambda u: (-len(u), u)))
     p = re.compile
     return [

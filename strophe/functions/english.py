@@ -83,6 +83,7 @@ def strip_accents(text: pd.Series) -> pd.Series:
 def normalise_english(plain: Column) -> Column:
     """Text without accents in the characters that have a pronunciation: punctuation mapped, numbers and i.e. and e.g. written out, the rest dropped."""
     x = numbers_said(F.translate(plain, PUNCTUATION, PUNCTUATION_AS))
+    # fixed values: the characters that have a pronunciation, and the two abbreviations
     x = F.regexp_replace(x, "[^ A-Za-z'.,?!\\-]", "")
     return F.regexp_replace(F.regexp_replace(x, r"(?i)i\.e\.", "that is"), r"(?i)e\.g\.", "for example")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -78,7 +79,8 @@ def _remove(spark: SparkSession, path: str) -> None:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
     except Exception:  # the session may be gone
-        pass
+        if path.startswith(("/", "file:/")):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
 
 #: With this setting the shuffle files of a query are removed when it ends, not when the driver happens to collect garbage.
