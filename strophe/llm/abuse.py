@@ -352,8 +352,8 @@ def learn(texts: list[str], flagged: np.ndarray, lexicon: list[tuple[str, str]],
     # the song's label is the voter whose accuracy is known: abusive lines are in flagged songs alone, about ABUSIVE_LINES in each
     line_label = votes[:, -2]
     bad, good = int((line_label > 0).sum()), int((line_label < 0).sum())
-    share = min(0.3, ABUSIVE_LINES * nf / max(1, bad + good))
-    known = {votes.shape[1] - 2: (-8.0, math.log(UNLABELLED), math.log((bad + good) / max(1, bad)))}
+    share = min(0.3, ABUSIVE_LINES * nf / max(1, bad + good))  # nf is at least 1
+    known = {votes.shape[1] - 2: (-8.0, math.log(UNLABELLED), math.log(max(1, bad + good) / max(1, bad)))}
     post = label_model(votes, share, known=known)[0] if len(lines) else np.zeros(0)
     return _classifier(words, decoder, lines, post, lone)
 
