@@ -187,7 +187,7 @@ def quantity_words(t: Tables) -> DataFrame:
 
 @query()
 def normalise_documents(t: Tables) -> DataFrame:
-    return t.documents.where("lang = 'zh'").select("doc_id", chinese.normalise("text").alias("sentences"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", chinese.normalise("text").alias("sentences"))
 
 
 def _chain(x: str, pairs) -> str:
