@@ -9,16 +9,21 @@ more than HOT texts all the same is split by DEEPER further symbols, up to LEVEL
 times, before all of its pairs are compared. Every pair that shares a block is a
 candidate; most of those that share only stock phrases are told by one bit of each
 minimum, and an exact comparison of the shingle sets follows.
+
+The bits travel with the blocks, packed in arrays, and are compared where a block is
+gathered: pairs that only share a block, whose number grows faster than the texts',
+are never written, and what is on disk at once follows the number of texts.
 """
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strophe.functions.characters import FOLDED_TAG, TAGS, has_words
@@ -29,15 +34,22 @@ from strophe.session import ship, stage, unstage
 BLOCKS, MINIMA = 140, 3
 #: Longs of one bit of each of the first minima, and how many of the bits at least agree: at a similarity of 0.5, fewer do with probability 1 in 10^9.
 BITS, AGREE = 6, 235
-#: Blocks are joined in up to so many turns, one more for each so many classes; each turn frees its shuffle files.
-TURNS, TURN_CLASSES = 4, 30_000
-#: Most texts of a block that are compared with each other at once. A larger block is split by this many of the following symbols, up to so many times;
+#: Blocks are gathered in up to so many turns, one more for each so many classes; each turn frees its shuffle files.
+TURNS, TURN_CLASSES = 35, 10_000
+#: Most texts of a block that are compared with each other at once; for so many that takes as long as to split the block (some ns a pair, 1 to 2 us a row and symbol).
+#: A larger block is split by this many of the following symbols, up to so many times;
 #: a pair at 0.5 that shares the block is then missed with probability 0.875 ** 32, so over all blocks with 1 in 10^8 as before.
-HOT, DEEPER, LEVELS = 1_000, 32, 3
+HOT, DEEPER, LEVELS = 8_000, 32, 3
 #: Tasks that share the pairs of a block that is hot after the last level.
 SALTS = 16
-#: Up to so many ids, or classes with their bits (100 bytes each), are broadcast; beyond, they are joined.
+#: Up to so many ids are broadcast; beyond, they are joined.
 BROADCAST_IDS = 500_000
+#: Rows of blocks that a task gathers at about 64 bytes, and texts whose blocks are packed together.
+TASK_ROWS, PACKED = 150_000, 10_000
+#: Up to so many texts of a block are compared by shifting the block against itself, larger ones by squares of so many.
+SHIFTED, SQUARE = 48, 256
+#: The sets of candidates are compared in turns of so many pairs, or a quarter of the classes if that is more.
+TURN_PAIRS = 100_000
 
 _HAN = "㐀-鿿豈-﫿"
 _WORD = re.compile(rf"\[(?:{'|'.join(TAGS)})\]|[{_HAN}]|[^\W_{_HAN}]+")
@@ -47,6 +59,8 @@ _ODD = np.random.default_rng(20240607).integers(0, 2**31, (BLOCKS, MINIMA), dtyp
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _BITS = [f"b{i}" for i in range(BITS)]
+#: Two symbols each.
+_SYMBOLS = [f"s{i}" for i in range(BLOCKS // 2)]
 #: Latin-1 bytes that are no part of a word become blanks.
 _BLANKED = bytes(c if chr(c).isalnum() else 32 for c in range(256))
 
@@ -127,7 +141,7 @@ def _fingerprints(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = np.nonzero(lengths >= 3)[0]
             starts = offsets[some]
             bits = np.zeros((BITS, len(some)), np.uint64)
-            symbols = np.zeros((len(some), BLOCKS), np.int32)
+            symbols = np.zeros((BLOCKS, len(some)), np.uint64)
             y, shifted = np.empty_like(x), np.empty_like(x)
             for j in range(BLOCKS if len(some) else 0):
                 both = np.zeros(len(some), np.uint64)
@@ -140,12 +154,12 @@ def _fingerprints(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         bits[i // 64] |= (least & np.uint64(1)) << np.uint64(i % 64)
                     both = (both ^ least) * _MIX
                     both ^= both >> np.uint64(29)
-                symbols[:, j] = (both >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                symbols[j] = both >> np.uint64(32)
             digest = [xxhash.xxh3_128_digest(s) for s in signs]
             pair = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)[some] if digest else np.empty((0, 2), np.int64)
             order = np.fromiter((xxhash.xxh64_intdigest(" ".join(ws[i])) for i in some), np.uint64, len(some)).view(np.int64)
-            sig = pa.FixedSizeListArray.from_arrays(pa.array(symbols.ravel()), BLOCKS).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(order), sig, *map(pa.array, bits.view(np.int64))], ["k", "g1", "g2", "w", "sig", *_BITS])
+            two = (symbols[::2] | symbols[1::2] << np.uint64(32)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(order), *map(pa.array, bits.view(np.int64)), *map(pa.array, two)], ["k", "g1", "g2", "w", *_BITS, *_SYMBOLS])
 
 
 def _shingles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,64 +177,215 @@ def _shingles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def classes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(k, g1, g2, w, sig, bits, u): each text of three words or more with the hashes of its letters and of its words, its fingerprint and a number; staged."""
+    """(k, g1, g2, w, bits, symbols, u): each text of three words or more with the hashes of its letters and of its words, its fingerprint and a number; staged."""
     ship(df.sparkSession)
     src = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & has_words(F.col("t")))
-    found = src.mapInArrow(_fingerprints, "k bigint, g1 bigint, g2 bigint, w bigint, sig array<int>, " + ", ".join(f"{x} bigint" for x in _BITS))
-    return stage(found.withColumn("u", F.monotonically_increasing_id()), "fingerprints")
+    found = src.mapInArrow(_fingerprints, ", ".join(f"{x} bigint" for x in ("k", "g1", "g2", "w", *_BITS, *_SYMBOLS)))
+    return stage(found.withColumn("u", F.monotonically_increasing_id()), "fingerprints", **{"parquet.enable.dictionary": "false"})
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    """(block, a, b) of rows (block, rep): every pair of a block of at most HOT texts, with a null block; of a larger one its texts alone, with a null b.
+class _Chosen:
+    """Tells which numbers are among those of a column; it holds one bit a number."""
 
-    One shuffle and one sort, on the block; the lists are as short as HOT.
-    """
-    size = F.count(F.lit(1)).over(Window.partitionBy("block"))
-    shared = rows.withColumn("n", size).where("n > 1")
-    lists = shared.groupBy("block", F.when(F.col("n") > HOT, F.col("rep")).alias("hot")).agg(F.array_sort(F.collect_list("rep")).alias("reps"))
-    firsts = lists.select(F.when(F.col("hot").isNotNull(), F.col("block")).alias("block"), "reps", F.posexplode("reps").alias("i", "a"))
-    others = F.when(F.col("block").isNull(), F.slice("reps", F.col("i") + 2, F.size("reps"))).otherwise(F.array(F.lit(None).cast("bigint")))
-    return firsts.select("block", "a", F.explode(others).alias("b")).where("b is null or a <> b")
+    def __init__(self, df: DataFrame, column: str):
+        u = F.col(column)
+        found = df.groupBy(F.shiftright(u, 15).alias("at")).agg(F.bitmap_construct_agg(u.bitwiseAND(F.lit(32767).cast("bigint"))).alias("bits")).collect()
+        found.sort(key=lambda r: r["at"])
+        self.at = np.array([r["at"] for r in found], np.int64)
+        self.bits = np.frombuffer(b"".join(bytes(r["bits"]) for r in found), np.uint8).reshape(-1, 4096)
+
+    def __call__(self, u: np.ndarray) -> np.ndarray:
+        if not len(self.at):
+            return np.zeros(len(u), bool)
+        at = np.minimum(np.searchsorted(self.at, u >> 15), len(self.at) - 1)
+        low = u & 32767
+        return (self.at[at] == u >> 15) & (self.bits[at, low >> 3] >> (low & 7).astype(np.uint8) & 1 > 0)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    y = x.astype(np.uint64)
+    y ^= y >> np.uint64(32)
+    y *= _MIX
+    y ^= y >> np.uint64(29)
+    y *= np.uint64(_BASE)
+    y ^= y >> np.uint64(32)
+    return y.view(np.int64)
+
+
+def _among(x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Where x has one of the values, which are sorted."""
+    return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
+
+
+def _own_blocks(symbols: np.ndarray, a: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, block) of symbols that begin with number a."""
+    blocks = np.arange(a, a + len(symbols), dtype=np.int64)[:, None] << 32 | symbols.astype(np.int64)
+    return np.tile(np.arange(symbols.shape[1]), len(symbols)), blocks.ravel()
+
+
+def _split(symbols: np.ndarray, at: tuple, level: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks at (first symbol, text, block) split by some of the symbols that the level adds, which the block doesn't have yet."""
+    j, text, block = at
+    i = (j[:, None] + 1 + level * DEEPER + some) % BLOCKS
+    new = _mixed(block[:, None] ^ _mixed(i << 32 | symbols[i, text[:, None]].astype(np.int64)))
+    return np.repeat(j, len(some)), np.repeat(text, len(some)), new.ravel()
+
+
+def _deeper_blocks(symbols: np.ndarray, hot: list[np.ndarray], some: np.ndarray, salted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(text, block) of blocks that are hot at all levels, split by some further symbols or, if salted, repeated for some salts, which are their last 16 bits."""
+    js = np.unique(hot[0] >> 32)
+    blocks = js[:, None] << 32 | symbols[js].astype(np.int64)
+    j, text = np.nonzero(_among(blocks, hot[0]))
+    at = js[j], text, blocks[j, text]
+    for level, more in enumerate(hot[1:]):
+        at = _split(symbols, at, level, np.arange(DEEPER))
+        at = tuple(x[keep] for x in at) if not (keep := _among(at[2], more)).all() else at
+    if salted:
+        return np.repeat(at[1], len(some)), ((_mixed(at[2])[:, None] & ~0xFFFF) | some).ravel()
+    return _split(symbols, at, len(hot) - 1, some)[1:]
+
+
+def _packed(it: Iterator[pa.RecordBatch], chosen: _Chosen, of: Callable, parts: int, most: int) -> Iterator[pa.RecordBatch]:
+    """(p, rows): block, key and bits of the chosen texts for every part, column by column."""
+    for whole in it:
+        for start in range(0, whole.num_rows, most):
+            u, k, *columns = (x.to_numpy(zero_copy_only=False) for x in whole.slice(start, most).columns)
+            keep = np.nonzero(chosen(u))[0]
+            columns = np.stack(columns)[:, keep]
+            two = np.ascontiguousarray(columns[BITS:]).view(np.uint64)
+            symbols = np.stack([two & np.uint64(0xFFFFFFFF), two >> np.uint64(32)], axis=1).reshape(2 * len(two), -1)
+            text, block = of(symbols)
+            if not len(text):
+                continue
+            part = (_mixed(block).view(np.uint64) >> np.uint64(20)) % np.uint64(parts)
+            order = np.argsort(part.astype(np.int32), kind="stable")
+            text = text[order]
+            rows = np.concatenate([block[order][None], k[keep][text][None], columns[:BITS, text]])
+            ends = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+            p = np.nonzero(np.diff(ends))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array([rows[:, ends[x] : ends[x + 1]].tobytes() for x in p], pa.binary())], ["p", "rows"])
+
+
+def _sizes(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the blocks of a sorted array begin, and their sizes."""
+    starts = np.nonzero(np.r_[True, block[1:] != block[:-1]])[0] if len(block) else np.empty(0, np.int64)
+    return starts, np.diff(np.r_[starts, len(block)])
+
+
+def _gathered(it: Iterator[pa.RecordBatch], hot: int | None) -> tuple[np.ndarray, dict[int, int]]:
+    """The rows of a part by block, without those of blocks of more than hot texts, and the sizes of these blocks."""
+    held, n, room, larger = [np.empty((2 + BITS, 0), np.int64)], 0, 4 * TASK_ROWS, {}
+
+    def sort() -> np.ndarray:
+        rows = np.concatenate(held, axis=1)
+        rows = rows[:, np.argsort(rows[0], kind="stable")]
+        if hot is None:
+            return rows
+        starts, sizes = _sizes(rows[0])
+        over = (sizes > hot) | _among(rows[0, starts], np.sort(np.fromiter(larger, np.int64))) if larger else sizes > hot
+        for x, m in zip(rows[0, starts[over]].tolist(), sizes[over].tolist()):
+            larger[x] = larger.get(x, 0) + m
+        return rows[:, np.repeat(~over, sizes)] if over.any() else rows
+
+    for b in it:
+        for x in b.column(1):
+            held.append(np.frombuffer(x.as_buffer(), np.int64).reshape(2 + BITS, -1))
+            n += held[-1].shape[1]
+        if n > room:  # rows of a block that is in a large part of the texts aren't kept
+            held[:] = [sort()]
+            n = held[0].shape[1]
+            room = max(room, 2 * n)
+    return sort(), larger
+
+
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many bits differ; x and y: a row for each 64 of them. Of a signed number numpy would count the absolute value's bits."""
+    count = lambda part: reduce(np.add, (np.bitwise_count((a ^ b).view(np.uint64)) for a, b in part))
+    both = list(zip(x, y))
+    return sum(count(both[i : i + 3]).astype(np.uint16) for i in range(0, BITS, 3))
+
+
+def _pairs(rows: np.ndarray, lefts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) of rows of one block that agree in enough bits: of all pairs, or of all with a left one."""
+    bits = rows[2:]
+    own = np.arange(rows.shape[1]) if lefts is None else lefts
+    for a in range(0, len(own), SQUARE):
+        x = bits[:, own[a : a + SQUARE], None]
+        for b in range(a if lefts is None else 0, rows.shape[1], SQUARE):
+            i, j = np.nonzero(_differ(x, bits[:, None, b : b + SQUARE]) <= 64 * BITS - AGREE)
+            yield own[i + a], j + b
+
+
+def _compared(it: Iterator[pa.RecordBatch], hot: int | None) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the keys of a block whose bits agree, and (block, n) of blocks of more than hot texts; without hot, blocks are salted."""
+    rows, larger = _gathered(it, hot)
+    starts, sizes = _sizes(rows[0])
+    found = []
+    if hot is not None:
+        left = np.repeat(starts + sizes, sizes) - np.arange(rows.shape[1]) - 1  # further rows of the block
+        i = np.nonzero(np.repeat(sizes <= SHIFTED, sizes))[0]
+        for d in range(1, SHIFTED):
+            i = i[left[i] >= d]
+            for at in range(0, len(i), 100_000):
+                x = i[at : at + 100_000]
+                x = x[_differ(rows[2:, x], rows[2:, x + d]) <= 64 * BITS - AGREE]
+                found.append((x, x + d))
+    for at, m in zip(starts.tolist(), sizes.tolist()) if hot is None else zip(starts[sizes > SHIFTED].tolist(), sizes[sizes > SHIFTED].tolist()):
+        block = rows[:, at : at + m]
+        lefts = np.nonzero(_mixed(block[1]) % SALTS == block[0, 0] & 0xFFFF)[0] if hot is None else None
+        found += [(i + at, j + at) for i, j in _pairs(block, lefts) if len(i)]
+    pair = np.sort(rows[1][np.concatenate([np.stack(x) for x in found], axis=1)] if found else np.empty((2, 0), np.int64), axis=0)
+    pair = pair[:, np.lexsort(pair)]
+    pair = pair[:, (pair[0] != pair[1]) & np.r_[True, (pair[:, 1:] != pair[:, :-1]).any(axis=0)][: pair.shape[1]]]
+    none = pa.nulls(pair.shape[1], pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), none, none], ["a", "b", "block", "n"])
+    none = pa.nulls(len(larger), pa.int64())
+    yield pa.RecordBatch.from_arrays([none, none, pa.array(list(larger), pa.int64()), pa.array(list(larger.values()), pa.int64())], ["a", "b", "block", "n"])
 
 
 class _Candidates:
     """Pairs of classes that share a block and AGREE bits, gathered turn by turn."""
 
-    def __init__(self, firsts: DataFrame, small: bool):
-        self.firsts, self.small = firsts, small
+    def __init__(self, rows: DataFrame, chosen: _Chosen, n: int):
+        """rows: texts with fingerprints, of which n are chosen, one a class."""
+        self.rows, self.chosen, self.n = rows, chosen, n
         self.found: list[DataFrame] = []
 
-    def _alike(self, met: DataFrame) -> DataFrame:
-        """Of met (block, a, b) the pairs whose fingerprints agree in enough bits, and all rows with a null b."""
-        wide = lambda d: F.broadcast(d) if self.small else d
-        bits = lambda x: wide(self.firsts.select(F.col("rep").alias(x), *(F.col(c).alias(x + c) for c in _BITS)))
-        differ = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _BITS[1:]), F.bit_count(F.col(f"a{_BITS[0]}").bitwiseXOR(F.col(f"b{_BITS[0]}"))))
-        met = met if self.small else met.distinct()
-        return met.join(bits("a"), "a").join(bits("b"), "b", "left").where((differ <= 64 * BITS - AGREE) | F.col("b").isNull()).select("block", "a", "b").distinct()
-
-    def add(self, rows: DataFrame, level: int = 1) -> None:
-        """Pairs of the blocks of rows (block, rep)."""
-        met = stage(self._alike(_met(rows)), "candidates")
-        self.found.append(met)
-        hot = met.where("b is null").select("block", F.col("a").alias("rep"))
-        if hot.isEmpty():
-            return
-        if level < LEVELS:
-            at = lambda i: F.pmod(F.lit(level * DEEPER) + F.pmod(F.col("block"), F.lit(BLOCKS)) + i, F.lit(BLOCKS)).cast("int")
-            deeper = hot.join(self.firsts.select("rep", "sig"), "rep").select("rep", "block", F.explode(F.transform(F.sequence(F.lit(0), F.lit(DEEPER - 1)), lambda i: F.struct(at(i).alias("i"), F.get("sig", at(i)).alias("v")))).alias("x"))
-            self.add(deeper.select(F.xxhash64("block", "x.i", "x.v").alias("block"), "rep"), level + 1)
-        else:
-            salt = F.pmod(F.xxhash64("rep"), F.lit(SALTS))
-            a = hot.select("block", F.col("rep").alias("a"), salt.alias("salt"))
-            b = hot.select("block", F.col("rep").alias("b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
-            pairs = a.join(b, ["block", "salt"]).where("a < b").select(F.lit(None).cast("bigint").alias("block"), "a", "b")
-            self.found.append(stage(self._alike(pairs), "candidates"))
-
-    def all(self) -> DataFrame:
-        out = self.found[0]
-        for x in self.found[1:]:
-            out = out.union(x)
-        out = stage(out.where("b is not null").select("a", "b").distinct(), "candidates")
+    def _turn(self, columns: list[str], of: Callable, total: int, most: int = PACKED, salted: bool = False) -> None:
+        """Pairs of about so many rows of blocks, which `of` makes of the symbols of these columns."""
+        parts = max(-(-total // TASK_ROWS), min(self.rows.sparkSession.sparkContext.defaultParallelism, -(-total // 20_000)))
+        packed = self.rows.select("u", "k", *_BITS, *columns).mapInArrow(partial(_packed, chosen=self.chosen, of=of, parts=parts, most=most), "p int, rows binary")
+        met = packed.repartitionById(parts, "p").mapInArrow(partial(_compared, hot=None if salted else HOT), "a bigint, b bigint, block bigint, n bigint")
+        self.found.append(stage(met, "candidates"))
+
+    def _all(self, start: int = 0) -> DataFrame:
+        return reduce(DataFrame.union, self.found[start:])
+
+    def gather(self) -> DataFrame:
+        """(a, b), a < b; staged."""
+        turns = max(1, min(TURNS, len(_SYMBOLS), 1 + self.n // TURN_CLASSES))
+        a_turn = max(self.n, TURN_CLASSES) * BLOCKS // turns
+        for turn in range(turns):
+            a, z = len(_SYMBOLS) * turn // turns, len(_SYMBOLS) * (turn + 1) // turns
+            self._turn(_SYMBOLS[a:z], partial(_own_blocks, a=2 * a), 2 * (z - a) * self.n)
+        hot, start = [], 0
+        for level in range(1, LEVELS + 1):
+            larger = sorted((r["n"], r["block"]) for r in self._all(start).where("block is not null").select("block", "n").collect())
+            if not larger:
+                break
+            start, salted = len(self.found), level == LEVELS
+            fan = SALTS if salted else DEEPER
+            group, total = [], 0
+            for i, (n, block) in enumerate(larger):  # blocks are split together as long as that takes no more room than any turn
+                group.append(block)
+                total += n
+                if i + 1 == len(larger) or (total + larger[i + 1][0]) * fan > a_turn:
+                    of = partial(_deeper_blocks, hot=[*hot, np.sort(np.array(group, np.int64))], salted=salted)
+                    for some in np.array_split(np.arange(fan), min(fan, -(-total * fan // a_turn))):
+                        self._turn(_SYMBOLS, partial(of, some=some), total * len(some), 1000, salted)
+                    group, total = [], 0
+            hot.append(np.sort(np.array([x for _, x in larger], np.int64)))
+        out = stage(self._all().where("b is not null").select("a", "b").distinct(), "candidates")
         unstage(*self.found)
         return out
 
@@ -237,37 +402,39 @@ def near_pairs(df: DataFrame, key: str = "row_id", text: str = "lyrics", similar
     repeated rows and copies fall into one class, so no group is expanded. A key
     with several texts is in the class of each, and its sets are those of one.
 
-    Shuffles: keys of classes, one 16-byte row per block (TURNS shuffles, of which
-    one is kept at a time), candidate pairs, and the shingle sets of candidates
-    only. No block of more than HOT texts is compared at once (see _Candidates).
+    Shuffles: keys of classes, 64 bytes for each block of a class (TURNS shuffles, of
+    which one is kept at a time), candidate pairs, and the shingle sets of candidates
+    only, in turns too. No block of more than HOT texts is compared at once (see
+    _Candidates). A bit for each text goes to the driver and to the workers.
     """
     rows = classes(df, key, text)
     reps = stage(rows.groupBy("g1", "g2", "w").agg(F.min("k").alias("rep"), F.min_by("u", "k").alias("u")), "representatives")
     members = stage(rows.select("k", "g1", "g2", "w").join(reps.select("rep", "g1", "g2", "w"), ["g1", "g2", "w"]).select("k", "rep", "g1", "g2"), "members")
-    first = reps.select("u")
-    n = first.count()
-    small, turns = n <= BROADCAST_IDS, min(TURNS, 1 + n // TURN_CLASSES)
-    firsts = rows.join(F.broadcast(first) if small else first, "u", "left_semi").withColumnRenamed("k", "rep")
-    got = _Candidates(firsts, small)
-    for turn in range(turns):
-        a, z = BLOCKS * turn // turns, BLOCKS * (turn + 1) // turns
-        part = firsts.select("rep", F.posexplode(F.slice("sig", a + 1, z - a)).alias("i", "v"))
-        got.add(part.select("rep", (F.shiftleft(F.col("i").cast("bigint") + a, 32) + F.col("v").cast("bigint")).alias("block")))
-    cand = got.all()
+    n = reps.count()
+    cand = _Candidates(rows, _Chosen(reps, "u"), n).gather()
     unstage(rows, reps)
-    sides = cand.select(F.explode(F.array(F.struct(F.col("a").alias("k"), F.lit(True).alias("first")), F.struct(F.col("b").alias("k"), F.lit(False).alias("first")))).alias("x"), "a", "b").select("x.k", "x.first", "a", "b")
-    ids = stage(sides.select("k").distinct(), "candidate-ids")
+    ids = stage(cand.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "candidate-ids")
     src = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     src = src.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "k", "left_semi")
     sets = src.mapInArrow(_shingles, "k bigint, s array<int>")
-    # one row a pair, with the sets of both sides; a repeated key counts once
-    of = lambda side: F.max(F.when(F.col("first") == side, F.col("s")))
-    both = sides.join(sets, "k").groupBy("a", "b").agg(of(True).alias("sa"), of(False).alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    close = both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity")).where(F.col("similarity") >= similarity)
-    close = stage(close, "close")
+    turns = 1 + cand.count() // max(TURN_PAIRS, n // 4)
+    if turns > 1:
+        sets = stage(sets, "sets")
+    close = []
+    for turn in range(turns):
+        some = cand.where(F.pmod(F.xxhash64("a"), F.lit(turns)) == turn)
+        sides = some.select(F.explode(F.array(F.struct(F.col("a").alias("k"), F.lit(True).alias("first")), F.struct(F.col("b").alias("k"), F.lit(False).alias("first")))).alias("x"), "a", "b").select("x.k", "x.first", "a", "b")
+        # one row a pair, with the sets of both sides; a repeated key counts once
+        of = lambda side: F.max(F.when(F.col("first") == side, F.col("s")))
+        both = sides.join(sets, "k").groupBy("a", "b").agg(of(True).alias("sa"), of(False).alias("sb"))
+        common = F.size(F.array_intersect("sa", "sb"))
+        alike = both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity")).where(F.col("similarity") >= similarity)
+        close.append(stage(alike, "close"))
     unstage(cand, ids)
-    return close, members
+    if turns > 1:
+        parts, close = close, [stage(reduce(DataFrame.union, close), "close")]
+        unstage(sets, *parts)
+    return close[0], members
 
 
 def near_duplicates(df: DataFrame, key: str = "row_id", text: str = "lyrics", similarity: float = 0.5) -> DataFrame:

@@ -87,8 +87,8 @@ def _remove(spark: SparkSession, path: str) -> None:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
+def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write df as a table in the shared folder, with options of the writer, and read it back.
 
     Cuts the lineage and keeps a result that several branches use from being
     computed again; it survives the loss of executors. The shuffle files it took
@@ -100,7 +100,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

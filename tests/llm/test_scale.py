@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,53 @@ def test_line_that_a_third_of_the_songs_share(spark, monkeypatch):
     assert {tuple(r) for r in neardup.near_duplicates(songs(spark, rows)).collect()} == {(0, 1000), (1, 1001)}
 
 
+def test_blocks_are_compared_where_they_are_gathered(spark, monkeypatch):
+    """Pairs that only share a block are never joined or written, whether classes are few or many, and sets are compared in turns."""
+    plans, real = [], neardup.stage
+
+    def watched(df, name, **options):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, name, **options)
+
+    monkeypatch.setattr(neardup, "stage", watched)
+    for name, value in [("BROADCAST_IDS", 0), ("TURN_CLASSES", 40), ("TURN_PAIRS", 10)]:
+        monkeypatch.setattr(neardup, name, value)
+    rows = corpus()[:60]
+    assert {tuple(r) for r in neardup.near_duplicates(songs(spark, rows)).collect()} == brute(rows)
+    gathered = [p for name, p in plans if name == "candidates"]
+    assert len(gathered) > 1 and not any("Join" in p or "Generate" in p for p in gathered)
+    assert sum(name == "close" for name, _ in plans) > 2
+
+
+def test_gathered_blocks():
+    """Rows of too large blocks go early, but are counted; numbers are chosen by bits; signed numbers have all their bits."""
+    r = np.random.default_rng(5)
+    block = r.permutation(np.r_[np.full(900, 7), np.full(5, 8), np.arange(100, 200)])
+    rows = np.stack([block, np.arange(len(block)), *(np.zeros_like(block) for _ in range(neardup.BITS))])
+    batches = [pa.RecordBatch.from_arrays([pa.array([0]), pa.array([rows[:, i : i + 50].tobytes()], pa.binary())], ["p", "rows"]) for i in range(0, len(block), 50)]
+    for room in (25, neardup.TASK_ROWS):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(neardup, "TASK_ROWS", room)
+            left, larger = neardup._gathered(iter(batches), 60)
+        assert larger == {7: 900} and sorted(left[0]) == sorted(block[block != 7])
+    x, y = r.integers(-(2**63), 2**63, (2, neardup.BITS, 50))
+    assert neardup._differ(x, y).tolist() == [sum((int(a) ^ int(b)).__and__(2**64 - 1).bit_count() for a, b in zip(x[:, i], y[:, i])) for i in range(50)]
+
+
+def test_compared_blocks():
+    """Blocks of all sizes, also beyond those that are shifted and those that are compared in squares, give all pairs that agree."""
+    r = np.random.default_rng(6)
+    sizes = [1, 2, 40, neardup.SHIFTED + 1, 3 * neardup.SQUARE + 5]
+    block = np.repeat(np.arange(len(sizes)), sizes)
+    base = r.integers(-(2**63), 2**63, (neardup.BITS, 9))
+    bits = base[:, r.integers(0, 9, len(block))] ^ (1 << r.integers(0, 62, (neardup.BITS, len(block))))
+    rows = np.concatenate([block[None], r.permutation(len(block))[None], bits])
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([np.ascontiguousarray(rows).tobytes()], pa.binary())], ["p", "rows"])
+    got = {(a, b) for x in neardup._compared(iter([batch]), 10_000) for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist())}
+    i, j = np.nonzero(np.triu(block[:, None] == block, 1) & (np.bitwise_count((bits[:, :, None] ^ bits[:, None]).view(np.uint64)).sum(axis=0, dtype=int) <= 64 * neardup.BITS - neardup.AGREE))
+    assert got == {tuple(sorted(x)) for x in zip(rows[1, i].tolist(), rows[1, j].tolist())} and len(got) > 10_000
+
+
 def test_groups_are_components(spark):
     rows = corpus()[:50]
     got = {r.row_id: r.group_id for r in neardup.near_groups(songs(spark, rows)).collect()}
