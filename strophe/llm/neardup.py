@@ -35,7 +35,7 @@ BLOCKS, MINIMA = 140, 3
 #: Longs of one bit of each of the first minima, and how many of the bits at least agree: at a similarity of 0.5, fewer do with probability 1 in 10^9.
 BITS, AGREE = 6, 235
 #: Blocks are gathered in up to so many turns, one more for each so many classes; each turn frees its shuffle files.
-TURNS, TURN_CLASSES = 35, 10_000
+TURNS, TURN_CLASSES = 18, 10_000
 #: Most texts of a block that are compared with each other at once; for so many that takes as long as to split the block (some ns a pair, 1 to 2 us a row and symbol).
 #: A larger block is split by this many of the following symbols, up to so many times;
 #: a pair at 0.5 that shares the block is then missed with probability 0.875 ** 32, so over all blocks with 1 in 10^8 as before.
