@@ -353,7 +353,7 @@ class _Candidates:
 
     def _turn(self, columns: list[str], of: Callable, total: int, most: int = PACKED, salted: bool = False) -> None:
         """Pairs of about so many rows of blocks, which `of` makes of the symbols of these columns."""
-        parts = max(-(-total // TASK_ROWS), min(self.rows.sparkSession.sparkContext.defaultParallelism, -(-total // 20_000)))
+        parts = max(1, -(-total // TASK_ROWS), min(self.rows.sparkSession.sparkContext.defaultParallelism, -(-total // 20_000)))
         packed = self.rows.select("u", "k", *_BITS, *columns).mapInArrow(partial(_packed, chosen=self.chosen, of=of, parts=parts, most=most), "p int, rows binary")
         met = packed.repartitionById(parts, "p").mapInArrow(partial(_compared, hot=None if salted else HOT), "a bigint, b bigint, block bigint, n bigint")
         self.found.append(stage(met, "candidates"))
