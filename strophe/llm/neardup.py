@@ -13,6 +13,8 @@ minimum, and an exact comparison of the shingle sets follows.
 The bits travel with the blocks, packed in arrays, and are compared where a block is
 gathered: pairs that only share a block, whose number grows faster than the texts',
 are never written, and what is on disk at once follows the number of texts.
+Fingerprints are kept as arrays of up to SLICE texts, so that the turns that read
+them again take no time for each text and column outside numpy.
 """
 
 import re
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophe.functions.characters import FOLDED_TAG, TAGS, has_words
+from strophe.functions.characters import TAGS, has_words
 from strophe.llm.lookalike import skeleton
 from strophe.session import ship, stage, unstage
 
@@ -44,8 +46,12 @@ HOT, DEEPER, LEVELS = 8_000, 32, 3
 SALTS = 16
 #: Up to so many ids are broadcast; beyond, they are joined.
 BROADCAST_IDS = 500_000
+#: Texts whose fingerprints are made and kept together: as many as a processor's cache holds the words of, and a power of two.
+SLICE = 512
 #: Rows of blocks that a task gathers at about 64 bytes, and texts whose blocks are packed together.
-TASK_ROWS, PACKED = 150_000, 10_000
+TASK_ROWS, PACKED = 300_000, 10_000
+#: Pairs that are packed together, and that a task rids of repeated ones at 16 bytes.
+PACKED_PAIRS, TASK_PAIRS = 500_000, 2_000_000
 #: Up to so many texts of a block are compared by shifting the block against itself, larger ones by squares of so many.
 SHIFTED, SQUARE = 48, 256
 #: The sets of candidates are compared in turns of so many pairs, or a quarter of the classes if that is more.
@@ -53,16 +59,17 @@ TURN_PAIRS = 100_000
 
 _HAN = "㐀-鿿豈-﫿"
 _WORD = re.compile(rf"\[(?:{'|'.join(TAGS)})\]|[{_HAN}]|[^\W_{_HAN}]+")
+_LOWER_TAG = re.compile(rf"\[(?:{'|'.join(TAGS)})\]")
 _WIDE = re.compile("[^\x00-\xff‘’“”…–—•]")
 _APOSTROPHES = ("'", "’", "‘", "ʼ", "`", "´")
 _ODD = np.random.default_rng(20240607).integers(0, 2**31, (BLOCKS, MINIMA), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_BITS = [f"b{i}" for i in range(BITS)]
 #: Two symbols each.
 _SYMBOLS = [f"s{i}" for i in range(BLOCKS // 2)]
-#: Latin-1 bytes that are no part of a word become blanks.
-_BLANKED = bytes(c if chr(c).isalnum() else 32 for c in range(256))
+#: Latin-1 bytes that are no part of a word; they become blanks.
+_SIGNS = bytes(c for c in range(256) if not chr(c).isalnum())
+_BLANKED = bytes(32 if c in _SIGNS else c for c in range(256))
 
 
 class _Hashes(dict):
@@ -78,20 +85,19 @@ class _Hashes(dict):
 _HASH = _Hashes()
 
 
-def _latin(text: str) -> str:
-    """A text of Latin-1 letters with everything but letters and digits blanked."""
-    return text.encode("latin-1", "replace").replace(b"?", b" ").translate(_BLANKED).decode("latin-1")
-
-
 def words(text: str) -> tuple[list[str], str]:
     """The words of a text as the similarity has them, and its letters and digits, tags included."""
-    t = skeleton(text).lower().replace("ß", "ss")
-    for a in _APOSTROPHES:
-        t = t.replace(a, "")
-    if _WIDE.search(t):
-        found = _WORD.findall(t)
-        return [x for x in found if x[0] != "["], "".join(found).replace("[", "").replace("]", "")
-    return _latin(FOLDED_TAG.sub(" ", t)).split(), _latin(t).replace(" ", "")
+    if text.isascii():
+        t = text.lower().replace("'", "").replace("`", "")
+    else:
+        t = skeleton(text).lower().replace("ß", "ss")
+        for a in _APOSTROPHES:
+            t = t.replace(a, "")
+        if _WIDE.search(t):
+            found = _WORD.findall(t)
+            return [x for x in found if x[0] != "["], "".join(found).replace("[", "").replace("]", "")
+    latin = lambda x, *how: x.encode("latin-1", "replace").translate(*how).decode("latin-1")
+    return latin(_LOWER_TAG.sub(" ", t), _BLANKED).split(), latin(t, None, _SIGNS)
 
 
 def _powers(n: int) -> np.ndarray:
@@ -132,37 +138,69 @@ def _flat(ws: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fingerprints(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each slice, whose columns are arrays with a number for each text, BITS of them in the column of bits."""
     for whole in it:
-        for at in range(0, whole.num_rows, 2000):
-            ids, ws, signs = _read(b := whole.slice(at, 2000))
+        for at in range(0, whole.num_rows, SLICE):
+            ids, ws, signs = _read(whole.slice(at, SLICE))
             h, lengths = _flat(ws)
             x, offsets = _windows(h, lengths, np.full(len(ws), 3))  # of one length in all texts, else equal runs have other hashes
             x = (x >> np.uint64(32)).astype(np.uint32)
             some = np.nonzero(lengths >= 3)[0]
+            if not len(some):
+                continue
             starts = offsets[some]
+            y, least = np.empty_like(x), np.empty((BLOCKS * MINIMA, len(some)), np.uint32)
+            for i, odd in enumerate(_ODD.ravel()):
+                np.minimum.reduceat(np.multiply(x, odd, out=y), starts, out=least[i])
+            least ^= least >> np.uint32(15)  # the lowest bit of a product alone is that of x
             bits = np.zeros((BITS, len(some)), np.uint64)
+            for i in range(64 * BITS):
+                bits[i // 64] |= (least[i] & np.uint32(1)).astype(np.uint64) << np.uint64(i % 64)
+            least = least.reshape(BLOCKS, MINIMA, -1)
             symbols = np.zeros((BLOCKS, len(some)), np.uint64)
-            y, shifted = np.empty_like(x), np.empty_like(x)
-            for j in range(BLOCKS if len(some) else 0):
-                both = np.zeros(len(some), np.uint64)
-                for i, odd in enumerate(_ODD[j], MINIMA * j):
-                    np.multiply(x, odd, out=y)
-                    np.right_shift(y, np.uint32(15), out=shifted)
-                    np.bitwise_xor(y, shifted, out=y)
-                    least = np.minimum.reduceat(y, starts).astype(np.uint64)
-                    if i < 64 * BITS:
-                        bits[i // 64] |= (least & np.uint64(1)) << np.uint64(i % 64)
-                    both = (both ^ least) * _MIX
-                    both ^= both >> np.uint64(29)
-                symbols[j] = both >> np.uint64(32)
-            digest = [xxhash.xxh3_128_digest(s) for s in signs]
-            pair = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)[some] if digest else np.empty((0, 2), np.int64)
-            order = np.fromiter((xxhash.xxh64_intdigest(" ".join(ws[i])) for i in some), np.uint64, len(some)).view(np.int64)
-            two = (symbols[::2] | symbols[1::2] << np.uint64(32)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(order), *map(pa.array, bits.view(np.int64)), *map(pa.array, two)], ["k", "g1", "g2", "w", *_BITS, *_SYMBOLS])
+            for i in range(MINIMA):
+                symbols = (symbols ^ least[:, i]) * _MIX
+                symbols ^= symbols >> np.uint64(29)
+            symbols >>= np.uint64(32)
+            digest = b"".join(xxhash.xxh3_128_digest(signs[i]) for i in some)
+            g = np.frombuffer(digest, np.int64).reshape(-1, 2)
+            w = np.fromiter((xxhash.xxh64_intdigest(" ".join(ws[i])) for i in some), np.uint64, len(some))
+            two = symbols[::2] | symbols[1::2] << np.uint64(32)
+            k = ids.to_numpy(zero_copy_only=False)[some]
+            columns = [k, g[:, 0], g[:, 1], w, bits, *two]
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["k", "g1", "g2", "w", "bits", *_SYMBOLS])
+
+
+def _numbers(u: int, n: int) -> np.ndarray:
+    """The numbers of the texts of slice u: its partition in the upper 31 bits, as Spark numbers rows."""
+    low = (1 << 33) - 1
+    return np.arange(n, dtype=np.int64) + ((u & ~low) | (u & low) * SLICE)
+
+
+def _texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, k, g1, g2, w) for each text of the slices."""
+    for b in it:
+        for u, *columns in zip(b.column(0).to_pylist(), *b.columns[1:]):
+            columns = [np.frombuffer(c.as_buffer(), np.int64) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (_numbers(u, len(columns[0])), *columns)], ["u", "k", "g1", "g2", "w"])
+
+
+def _slices(it: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(u, k, bits, symbols) of up to so many texts of the slices, symbols two by two."""
+    for b in it:
+        for start in range(0, b.num_rows, max(1, most // SLICE)):
+            own = b.slice(start, max(1, most // SLICE))
+            k, bits, *two = ([np.frombuffer(x.as_buffer(), np.int64) for x in c] for c in own.columns[1:])
+            u = np.concatenate([_numbers(x, len(y)) for x, y in zip(own.column(0).to_pylist(), k)])
+            k = np.concatenate(k)
+            bits = np.concatenate([x.reshape(BITS, -1) for x in bits], axis=1)
+            two = np.stack([np.concatenate(x) for x in two])
+            for at in range(0, len(u), most):
+                yield u[at : at + most], k[at : at + most], bits[:, at : at + most], two[:, at : at + most]
 
 
 def _shingles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, s): the set of each text's runs as an array of 32-bit numbers in order."""
     for whole in it:
         for at in range(0, whole.num_rows, 2000):
             _, ws, _ = _read(b := whole.slice(at, 2000))
@@ -171,17 +209,35 @@ def _shingles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # text and shingle in one number: sorted once for all texts
             both = np.sort(np.repeat(np.arange(len(ws), dtype=np.uint64), np.diff(offsets)) << np.uint64(32) | x >> np.uint64(32))
             both = both[np.r_[True, both[1:] != both[:-1]][: len(both)]]
-            at_ = np.searchsorted(both, np.arange(len(ws) + 1, dtype=np.uint64) << np.uint64(32)).astype(np.int32)
-            values = pa.array((both & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at_), values)], ["k", "s"])
+            ends = 4 * np.searchsorted(both, np.arange(len(ws) + 1, dtype=np.uint64) << np.uint64(32))
+            values = both.astype(np.uint32)
+            sets = pa.Array.from_buffers(pa.binary(), len(ws), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values)])
+            yield pa.RecordBatch.from_arrays([b.column(0), sets], ["k", "s"])
 
 
-def classes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(k, g1, g2, w, bits, symbols, u): each text of three words or more with the hashes of its letters and of its words, its fingerprint and a number; staged."""
+def _alike(it: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """(a, b, similarity) of the pairs (a, b, sa, sb) whose sets are alike."""
+    for whole in it:
+        for at in range(0, whole.num_rows, 1000):
+            b = whole.slice(at, 1000)
+            sets = [np.frombuffer(x.as_buffer(), np.uint32) for side in ("sa", "sb") for x in b[side]]
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            both = np.sort(np.repeat(np.tile(np.arange(b.num_rows, dtype=np.uint64), 2), sizes) << np.uint64(32) | np.concatenate(sets))
+            common = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=b.num_rows)
+            every = sizes.reshape(2, -1).sum(axis=0) - common
+            some = np.nonzero(every)[0]
+            similarity = common[some] / every[some]
+            some, similarity = some[similarity >= least], similarity[similarity >= least]
+            yield pa.RecordBatch.from_arrays([b["a"].take(pa.array(some)), b["b"].take(pa.array(some)), pa.array(similarity)], ["a", "b", "similarity"])
+
+
+def classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(u, k, g1, g2, w) of each text of three words or more: a number, its key and the hashes of its letters and of its words. Before it the staged table that this is read from, of slices of texts with their fingerprints."""
     ship(df.sparkSession)
-    src = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & has_words(F.col("t")))
-    found = src.mapInArrow(_fingerprints, ", ".join(f"{x} bigint" for x in ("k", "g1", "g2", "w", *_BITS, *_SYMBOLS)))
-    return stage(found.withColumn("u", F.monotonically_increasing_id()), "fingerprints", **{"parquet.enable.dictionary": "false"})
+    src = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & has_words(F.col("t")))
+    found = src.mapInArrow(_fingerprints, ", ".join(f"{x} binary" for x in ("k", "g1", "g2", "w", "bits", *_SYMBOLS)))
+    slices = stage(found.withColumn("u", F.monotonically_increasing_id()), "fingerprints", **{"parquet.enable.dictionary": "false"})
+    return slices, slices.select("u", "k", "g1", "g2", "w").mapInArrow(_texts, "u bigint, k bigint, g1 bigint, g2 bigint, w bigint")
 
 
 class _Chosen:
@@ -247,23 +303,23 @@ def _deeper_blocks(symbols: np.ndarray, hot: list[np.ndarray], some: np.ndarray,
 
 def _packed(it: Iterator[pa.RecordBatch], chosen: _Chosen, of: Callable, parts: int, most: int) -> Iterator[pa.RecordBatch]:
     """(p, rows): block, key and bits of the chosen texts for every part, column by column."""
-    for whole in it:
-        for start in range(0, whole.num_rows, most):
-            u, k, *columns = (x.to_numpy(zero_copy_only=False) for x in whole.slice(start, most).columns)
-            keep = np.nonzero(chosen(u))[0]
-            columns = np.stack(columns)[:, keep]
-            two = np.ascontiguousarray(columns[BITS:]).view(np.uint64)
-            symbols = np.stack([two & np.uint64(0xFFFFFFFF), two >> np.uint64(32)], axis=1).reshape(2 * len(two), -1)
-            text, block = of(symbols)
-            if not len(text):
-                continue
-            part = (_mixed(block).view(np.uint64) >> np.uint64(20)) % np.uint64(parts)
-            order = np.argsort(part.astype(np.int32), kind="stable")
-            text = text[order]
-            rows = np.concatenate([block[order][None], k[keep][text][None], columns[:BITS, text]])
-            ends = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-            p = np.nonzero(np.diff(ends))[0]
-            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array([rows[:, ends[x] : ends[x + 1]].tobytes() for x in p], pa.binary())], ["p", "rows"])
+    for u, k, bits, two in _slices(it, most):
+        keep = chosen(u)
+        k, bits, two = k[keep], bits[:, keep], two[:, keep].view(np.uint64)
+        symbols = np.stack([two & np.uint64(0xFFFFFFFF), two >> np.uint64(32)], axis=1).reshape(2 * len(two), -1)
+        text, block = of(symbols)
+        if not len(text):
+            continue
+        part = ((_mixed(block).view(np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.min_scalar_type(parts))
+        order = np.argsort(part, kind="stable")
+        text = text[order]
+        rows = np.empty((2 + BITS, len(text)), np.int64)
+        rows[0], rows[1] = block[order], k[text]
+        for i in range(BITS):
+            np.take(bits[i], text, out=rows[2 + i], mode="clip")
+        ends = np.r_[0, np.cumsum(np.bincount(part, minlength=parts))]
+        p = np.nonzero(np.diff(ends))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array([rows[:, ends[x] : ends[x + 1]].tobytes() for x in p], pa.binary())], ["p", "rows"])
 
 
 def _sizes(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,30 +328,35 @@ def _sizes(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.r_[starts, len(block)])
 
 
-def _gathered(it: Iterator[pa.RecordBatch], hot: int | None) -> tuple[np.ndarray, dict[int, int]]:
-    """The rows of a part by block, without those of blocks of more than hot texts, and the sizes of these blocks."""
+def _gathered(it: Iterator[pa.RecordBatch], hot: int | None, least: int = 1) -> tuple[np.ndarray, dict[int, int]]:
+    """The rows of a part by block, without those of blocks of more than hot texts, and the sizes of these blocks. Blocks of fewer than least rows are left out too."""
     held, n, room, larger = [np.empty((2 + BITS, 0), np.int64)], 0, 4 * TASK_ROWS, {}
 
-    def sort() -> np.ndarray:
-        rows = np.concatenate(held, axis=1)
-        rows = rows[:, np.argsort(rows[0], kind="stable")]
-        if hot is None:
-            return rows
-        starts, sizes = _sizes(rows[0])
-        over = (sizes > hot) | _among(rows[0, starts], np.sort(np.fromiter(larger, np.int64))) if larger else sizes > hot
-        for x, m in zip(rows[0, starts[over]].tolist(), sizes[over].tolist()):
-            larger[x] = larger.get(x, 0) + m
-        return rows[:, np.repeat(~over, sizes)] if over.any() else rows
+    def sort(least: int) -> np.ndarray:
+        block = np.concatenate([x[0] for x in held])
+        order = np.argsort(block)
+        starts, sizes = _sizes(block[order])
+        first, keep = block[order[starts]], sizes >= least
+        if hot is not None:
+            over = (sizes > hot) | _among(first, np.sort(np.fromiter(larger, np.int64))) if larger else sizes > hot
+            for x, m in zip(first[over].tolist(), sizes[over].tolist()):
+                larger[x] = larger.get(x, 0) + m
+            keep &= ~over
+        kept = np.zeros(len(block), bool)
+        kept[order[np.repeat(keep, sizes)]] = True  # most rows are alone in their blocks: only the rest are moved
+        ends = np.cumsum([x.shape[1] for x in held])
+        rows = np.concatenate([x[:, kept[z - x.shape[1] : z]] for x, z in zip(held, ends)], axis=1)
+        return rows[:, np.argsort(rows[0])]
 
     for b in it:
         for x in b.column(1):
             held.append(np.frombuffer(x.as_buffer(), np.int64).reshape(2 + BITS, -1))
             n += held[-1].shape[1]
         if n > room:  # rows of a block that is in a large part of the texts aren't kept
-            held[:] = [sort()]
+            held[:] = [sort(1)]
             n = held[0].shape[1]
             room = max(room, 2 * n)
-    return sort(), larger
+    return sort(least), larger
 
 
 def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -316,9 +377,15 @@ def _pairs(rows: np.ndarray, lefts: np.ndarray | None = None) -> Iterator[tuple[
             yield own[i + a], j + b
 
 
+def _once(pair: np.ndarray) -> np.ndarray:
+    """The different columns, sorted."""
+    pair = pair[:, np.lexsort(pair)]
+    return pair[:, np.r_[True, (pair[:, 1:] != pair[:, :-1]).any(axis=0)][: pair.shape[1]]]
+
+
 def _compared(it: Iterator[pa.RecordBatch], hot: int | None) -> Iterator[pa.RecordBatch]:
     """(a, b) of the keys of a block whose bits agree, and (block, n) of blocks of more than hot texts; without hot, blocks are salted."""
-    rows, larger = _gathered(it, hot)
+    rows, larger = _gathered(it, hot, 2)
     starts, sizes = _sizes(rows[0])
     found = []
     if hot is not None:
@@ -335,27 +402,62 @@ def _compared(it: Iterator[pa.RecordBatch], hot: int | None) -> Iterator[pa.Reco
         lefts = np.nonzero(_mixed(block[1]) % SALTS == block[0, 0] & 0xFFFF)[0] if hot is None else None
         found += [(i + at, j + at) for i, j in _pairs(block, lefts) if len(i)]
     pair = np.sort(rows[1][np.concatenate([np.stack(x) for x in found], axis=1)] if found else np.empty((2, 0), np.int64), axis=0)
-    pair = pair[:, np.lexsort(pair)]
-    pair = pair[:, (pair[0] != pair[1]) & np.r_[True, (pair[:, 1:] != pair[:, :-1]).any(axis=0)][: pair.shape[1]]]
+    pair = _once(pair[:, pair[0] != pair[1]])
     none = pa.nulls(pair.shape[1], pa.int64())
     yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), none, none], ["a", "b", "block", "n"])
     none = pa.nulls(len(larger), pa.int64())
     yield pa.RecordBatch.from_arrays([none, none, pa.array(list(larger), pa.int64()), pa.array(list(larger.values()), pa.int64())], ["a", "b", "block", "n"])
 
 
+def _found(it: Iterator[pa.RecordBatch], hot: int | None) -> Iterator[pa.RecordBatch]:
+    """(pairs, block, n): what _compared finds, with the pairs in arrays."""
+    met, larger = _compared(it, hot)
+    pair = np.stack([met[x].to_numpy(zero_copy_only=False) for x in ("a", "b")])
+    for at in range(0, pair.shape[1], PACKED_PAIRS):
+        yield pa.RecordBatch.from_arrays([pa.array([pair[:, at : at + PACKED_PAIRS].tobytes()], pa.binary()), *2 * [pa.nulls(1, pa.int64())]], ["pairs", "block", "n"])
+    yield pa.RecordBatch.from_arrays([pa.nulls(larger.num_rows, pa.binary()), larger["block"], larger["n"]], ["pairs", "block", "n"])
+
+
+def _dealt(it: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """(p, pairs): the pairs by part."""
+    for b in it:
+        for x in b.column(0):
+            pair = np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1)
+            part = (_mixed(pair[0] ^ _mixed(pair[1])).view(np.uint64) % np.uint64(parts)).astype(np.min_scalar_type(parts))
+            pair = pair[:, np.argsort(part, kind="stable")]
+            ends = np.r_[0, np.cumsum(np.bincount(part, minlength=parts))]
+            p = np.nonzero(np.diff(ends))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int32)), pa.array([pair[:, ends[i] : ends[i + 1]].tobytes() for i in p], pa.binary())], ["p", "pairs"])
+
+
+def _distinct(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of a part, once each."""
+    held, n, room = [np.empty((2, 0), np.int64)], 0, 2 * TASK_PAIRS
+    for b in it:
+        for x in b.column(1):
+            held.append(np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1))
+            n += held[-1].shape[1]
+        if n > room:
+            held = [_once(np.concatenate(held, axis=1))]
+            n = held[0].shape[1]
+            room = max(room, 2 * n)
+    pair = _once(np.concatenate(held, axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+
+
 class _Candidates:
     """Pairs of classes that share a block and AGREE bits, gathered turn by turn."""
 
-    def __init__(self, rows: DataFrame, chosen: _Chosen, n: int):
-        """rows: texts with fingerprints, of which n are chosen, one a class."""
-        self.rows, self.chosen, self.n = rows, chosen, n
+    def __init__(self, slices: DataFrame, chosen: _Chosen, n: int):
+        """slices: of texts with fingerprints, of which n are chosen, one a class."""
+        self.slices, self.chosen, self.n = slices, chosen, n
         self.found: list[DataFrame] = []
 
     def _turn(self, columns: list[str], of: Callable, total: int, most: int = PACKED, salted: bool = False) -> None:
         """Pairs of about so many rows of blocks, which `of` makes of the symbols of these columns."""
-        parts = max(1, -(-total // TASK_ROWS), min(self.rows.sparkSession.sparkContext.defaultParallelism, -(-total // 20_000)))
-        packed = self.rows.select("u", "k", *_BITS, *columns).mapInArrow(partial(_packed, chosen=self.chosen, of=of, parts=parts, most=most), "p int, rows binary")
-        met = packed.repartitionById(parts, "p").mapInArrow(partial(_compared, hot=None if salted else HOT), "a bigint, b bigint, block bigint, n bigint")
+        parts = max(1, -(-total // TASK_ROWS), min(self.slices.sparkSession.sparkContext.defaultParallelism, -(-total // 20_000)))
+        packed = self.slices.select("u", "k", "bits", *columns).mapInArrow(partial(_packed, chosen=self.chosen, of=of, parts=parts, most=most), "p int, rows binary")
+        met = packed.repartitionById(parts, "p").mapInArrow(partial(_found, hot=None if salted else HOT), "pairs binary, block bigint, n bigint")
         self.found.append(stage(met, "candidates"))
 
     def _all(self, start: int = 0) -> DataFrame:
@@ -385,7 +487,11 @@ class _Candidates:
                         self._turn(_SYMBOLS, partial(of, some=some), total * len(some), 1000, salted)
                     group, total = [], 0
             hot.append(np.sort(np.array([x for _, x in larger], np.int64)))
-        out = stage(self._all().where("b is not null").select("a", "b").distinct(), "candidates")
+        pairs = self._all().where("pairs is not null").select("pairs")
+        total = (pairs.agg(F.sum(F.octet_length("pairs"))).first()[0] or 0) // 16
+        parts = max(1, -(-total // TASK_PAIRS), min(pairs.sparkSession.sparkContext.defaultParallelism, -(-total // 20_000)))
+        dealt = pairs.mapInArrow(partial(_dealt, parts=parts), "p int, pairs binary")
+        out = stage(dealt.repartitionById(parts, "p").mapInArrow(_distinct, "a bigint, b bigint"), "candidates")
         unstage(*self.found)
         return out
 
@@ -407,16 +513,16 @@ def near_pairs(df: DataFrame, key: str = "row_id", text: str = "lyrics", similar
     only, in turns too. No block of more than HOT texts is compared at once (see
     _Candidates). A bit for each text goes to the driver and to the workers.
     """
-    rows = classes(df, key, text)
+    slices, rows = classes(df, key, text)
     reps = stage(rows.groupBy("g1", "g2", "w").agg(F.min("k").alias("rep"), F.min_by("u", "k").alias("u")), "representatives")
     members = stage(rows.select("k", "g1", "g2", "w").join(reps.select("rep", "g1", "g2", "w"), ["g1", "g2", "w"]).select("k", "rep", "g1", "g2"), "members")
     n = reps.count()
-    cand = _Candidates(rows, _Chosen(reps, "u"), n).gather()
-    unstage(rows, reps)
+    cand = _Candidates(slices, _Chosen(reps, "u"), n).gather()
+    unstage(slices, reps)
     ids = stage(cand.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "candidate-ids")
     src = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     src = src.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "k", "left_semi")
-    sets = src.mapInArrow(_shingles, "k bigint, s array<int>")
+    sets = src.mapInArrow(_shingles, "k bigint, s binary")
     turns = 1 + cand.count() // max(TURN_PAIRS, n // 4)
     if turns > 1:
         sets = stage(sets, "sets")
@@ -427,8 +533,7 @@ def near_pairs(df: DataFrame, key: str = "row_id", text: str = "lyrics", similar
         # one row a pair, with the sets of both sides; a repeated key counts once
         of = lambda side: F.max(F.when(F.col("first") == side, F.col("s")))
         both = sides.join(sets, "k").groupBy("a", "b").agg(of(True).alias("sa"), of(False).alias("sb"))
-        common = F.size(F.array_intersect("sa", "sb"))
-        alike = both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity")).where(F.col("similarity") >= similarity)
+        alike = both.where("sa is not null and sb is not null").mapInArrow(partial(_alike, least=similarity), "a bigint, b bigint, similarity double")
         close.append(stage(alike, "close"))
     unstage(cand, ids)
     if turns > 1:

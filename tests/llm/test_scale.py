@@ -130,6 +130,30 @@ def test_compared_blocks():
     assert got == {tuple(sorted(x)) for x in zip(rows[1, i].tolist(), rows[1, j].tolist())} and len(got) > 10_000
 
 
+def test_fingerprints_are_kept_in_slices(spark):
+    """The turns read a row for each slice of texts, not for each text; every text has a number of its own."""
+    rows = [(i, f"[verse] a{i} b{i} c{i} d") for i in range(1200)] + [(2000, "too short")]
+    slices, texts = neardup.classes(songs(spark, rows).coalesce(1), "row_id", "lyrics")
+    assert slices.count() == -(-len(rows) // neardup.SLICE)
+    got = texts.collect()
+    assert sorted(r.k for r in got) == list(range(1200)) and len({r.u for r in got}) == 1200
+    assert neardup._numbers(3 << 33 | 2, 2).tolist() == [(3 << 33) + 2 * neardup.SLICE + i for i in range(2)]
+    unstage(slices)
+
+
+def test_sets_are_compared_as_arrays():
+    """Sizes of sets and of what they share, also of empty sets, as with Python's sets."""
+    r = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in np.cumsum(r.random(n) < p)) for n in (0, 2, 3, 40, 90) for p in (1, 0.9, 0.8, 0.8)]
+    s = next(neardup._shingles(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["k", "t"])])))["s"]
+    a, b = (x.ravel() for x in np.triu_indices(len(texts)))
+    pairs = pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), s.take(pa.array(a)), s.take(pa.array(b))], ["a", "b", "sa", "sb"])
+    got = {(x["a"], x["b"]): x["similarity"] for y in neardup._alike(iter([pairs]), 0.4) for x in y.to_pylist()}
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in zip(a.tolist(), b.tolist()) if sets[i] | sets[j]}
+    assert got == {x: y for x, y in want.items() if y >= 0.4} and len(got) > 12
+
+
 def test_groups_are_components(spark):
     rows = corpus()[:50]
     got = {r.row_id: r.group_id for r in neardup.near_groups(songs(spark, rows)).collect()}
