@@ -461,7 +461,9 @@ class _Candidates:
         self.found.append(stage(met, "candidates"))
 
     def _all(self, start: int = 0) -> DataFrame:
-        return reduce(DataFrame.union, self.found[start:])
+        """All turns from one on, read together: of a union, each would have tasks of its own."""
+        some = self.found[start:]
+        return self.slices.sparkSession.read.schema(some[0].schema).parquet(*(x._strophe[0] for x in some))
 
     def gather(self) -> DataFrame:
         """(a, b), a < b; staged."""

@@ -141,6 +141,16 @@ def test_fingerprints_are_kept_in_slices(spark):
     unstage(slices)
 
 
+def test_turns_are_read_together(spark):
+    """The tables of several turns are one scan, whose tasks read several small files."""
+    found = neardup._Candidates(spark.range(1), None, 1)
+    rows = [(bytes(16), None, None), (None, 5, 9)]
+    found.found = [stage(spark.createDataFrame(rows, "pairs binary, block bigint, n bigint").coalesce(1), "x") for _ in range(6)]
+    assert found._all().count() == 12 and found._all(4).count() == 4
+    assert "Union" not in found._all()._jdf.queryExecution().executedPlan().toString()
+    unstage(*found.found)
+
+
 def test_sets_are_compared_as_arrays():
     """Sizes of sets and of what they share, also of empty sets, as with Python's sets."""
     r = np.random.default_rng(7)
